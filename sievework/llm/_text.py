@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes of text handled at once inside an Arrow batch; a longer single text is handled alone.
@@ -47,6 +48,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of df with more columns behind it."""
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
+    return T.StructType([*df.schema.fields, *more.fields])
+
+
 def text_key(text: str = "text"):
     """A 64-bit name of a text. Decisions that depend on the text alone travel under it, so null,
     repeated or clashing ids never mix up documents."""

@@ -25,7 +25,8 @@ from .quality import SPACES
 #: Fractional part of the golden ratio, and the weights that repeat over the sources.
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
-CELLS = 256
+#: Hex digits of the order's hash that name a cell: 256 cells a source.
+CELL_DIGITS = 2
 
 
 def _size(text: Column) -> Column:
@@ -65,7 +66,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def place(docs: DataFrame) -> DataFrame:
     """Adds cell and start: the words of the source before this document, in the shuffled order."""
     within = Window.partitionBy("source", "cell").orderBy("_h", "doc_id", "_t")
-    docs = docs.withColumn("cell", F.pmod(F.col("_h"), F.lit(CELLS)).cast("int"))
+    docs = docs.withColumn("cell", F.substring("_h", 1, CELL_DIGITS))
     sums = docs.groupBy("source", "cell").agg(F.sum("size").alias("_in"))
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("cell").alias("_c"), F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_ahead"))
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, block_words: int = 4096, weights: tuple[int, ...] = WEI
     """docs with size, source_size, target and taken. block_words sets the grain of the schedule."""
     spark = docs.sparkSession
     extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    base = docs.select(*extra).withColumns({"size": _size(F.col("text")), "_h": F.xxhash64(F.lit(11), F.col("doc_id")), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    base = docs.select(*extra).withColumns({"size": _size(F.col("text")), "_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "_t": F.md5(F.coalesce("text", F.lit("")))})
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most).withColumn("take", F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(most))).cast("bigint"))
     light = place(base.select("doc_id", "source", "size", "_h", "_t"))
@@ -146,6 +147,26 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: The same mix in SQL: water-filled targets, and the words a document has in whole and cut passes.
-#: The shuffled order hashes ids as Spark does, which DuckDB can't: it is compared by tests instead.
-MIX_SQL = None
+#: The same mix in SQL: water-filled targets, and the words a document has in whole and in cut passes.
+MIX_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        md5(coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS t FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap FROM s),
+a AS (SELECT sum(source_size) * 1.5::DOUBLE AS total FROM s),
+-- hand out by weight, stop the sources that would be above their cap, and again
+f AS (SELECT 0 AS k, []::VARCHAR[] AS stopped, (SELECT total / sum(w) FROM a, c GROUP BY total) AS level
+      UNION ALL
+      SELECT k + 1, n.stopped, ((SELECT total FROM a) - (SELECT coalesce(sum(cap), 0) FROM c WHERE list_contains(n.stopped, coalesce('s' || source, 'n'))))
+          / (SELECT sum(w) FROM c WHERE NOT list_contains(n.stopped, coalesce('s' || source, 'n')))
+      FROM (SELECT f.k, f.stopped AS old, (SELECT list(coalesce('s' || source, 'n') ORDER BY source) FROM c WHERE cap < f.level * w OR list_contains(f.stopped, coalesce('s' || source, 'n'))) AS stopped FROM f) n
+      WHERE n.stopped IS NOT NULL AND len(n.stopped) > len(n.old)),
+z AS (SELECT level FROM f ORDER BY k DESC LIMIT 1),
+p AS (SELECT source, source_size, least(cap, level * w) AS target,
+        least(round(least(cap, level * w)), source_size * 2)::BIGINT AS take FROM c, z),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT o.doc_id, o.size, p.source_size, p.target,
+  CASE WHEN o.size = 0 THEN 0 ELSE (p.take // p.source_size) * o.size
+    + greatest(0, least(o.size, p.take % p.source_size - o.start)) END::BIGINT AS taken
+FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source
+"""

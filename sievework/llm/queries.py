@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, substring
 
 
 def queries():
     return {
         "op4_quality_rules": quality.quality_query,
+        "op5_substring_dedup": substring.substring_query,
         "op10_source_mixing": mixing.mix_query,
     }
 
 
 def oracle_sql():
-    return {"op4_quality_rules": quality.QUALITY_SQL}
+    return {"op4_quality_rules": quality.QUALITY_SQL, "op5_substring_dedup": substring.SUBSTRING_SQL, "op10_source_mixing": mixing.MIX_SQL}
