@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, substring
+from . import mixing, quality, substring, token_fst
 
 
 def queries():
     return {
+        "op3_token_counts": token_fst.tokens_query,
         "op4_quality_rules": quality.quality_query,
         "op5_substring_dedup": substring.substring_query,
         "op10_source_mixing": mixing.mix_query,

@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import Words, buffers, extended, materialise, signed, slices, text_key
+from ._text import Words, buffers, extended, materialise, signed, slices, text_key, with_filter
 
 #: A perfect difference set modulo 21 (every remainder is a difference of two members).
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
 SIZE = 35
-#: 4 MB: bits of the filter in front of the text joins. Its size does not depend on the data.
-BLOOM_BITS = 1 << 25
 _OCC = np.dtype([("k", "<i8"), ("p", "<i4")])
 
 
@@ -124,37 +122,6 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_unpack, "k bigint, p int").groupBy("k").agg(F.collect_set("p").alias("places"))
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys, two bits each, as bytes; gathered in at most BLOOM_BITS / 32768 rows."""
-    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.lit(BLOOM_BITS)).alias("b")
-    bits = keys.select(F.explode(F.array(bit(1), bit(2))).alias("b"))
-    bits = bits.groupBy(F.expr("bitmap_bucket_number(b)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
-    found = np.zeros(BLOOM_BITS // 8 + 4096, np.uint8)
-    for at, part in bits.collect():
-        found[(at - 1) * 4096 : at * 4096] = np.frombuffer(part, np.uint8)
-    return found
-
-
-def _with_filter(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs with a column `maybe`: false where the key is surely not among keys."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bloom(keys).tobytes())
-    schema = extended(docs, maybe="boolean")
-    docs = docs.withColumns({"_b1": F.pmod(F.xxhash64(F.lit(1), F.col("k")), F.lit(BLOOM_BITS)), "_b2": F.pmod(F.xxhash64(F.lit(2), F.col("k")), F.lit(BLOOM_BITS))})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for name in ("_b1", "_b2"):
-                # Spark's bit position b is stored in bucket b // 32768, byte (b % 32768) // 8
-                b = batch.column(name).to_numpy() - 1
-                hit &= (table[b // 8] >> (b % 8).astype(np.uint8) & 1).astype(bool)
-            yield batch.drop_columns(["_b1", "_b2"]).append_column("maybe", pa.array(hit))
-
-    return docs.mapInArrow(run, schema)
-
-
 def _removal(size: int, columns: list[str], keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,10 +174,10 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, keep_text: bool = True)
     texts = docs.select(text_key().alias("k"), "text")
     anchors = _shared(texts.mapInArrow(_anchors(size), "h bigint, n bigint, occ binary"))
     anchors = materialise(anchors, "anchors")
-    some = _with_filter(texts, anchors.select("k")).where("maybe").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    some = with_filter(texts, anchors.select("k")).where("maybe").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     held = some.join(anchors, "k").select("k", "text", "copies", "places")
     windows = materialise(_shared(held.mapInArrow(_windows(size), "h bigint, n bigint, occ binary")), "windows")
-    tagged = _with_filter(docs.select(*columns).withColumn("k", text_key()), windows.select("k"))
+    tagged = with_filter(docs.select(*columns).withColumn("k", text_key()), windows.select("k"))
     hit = tagged.where("maybe").join(windows, "k", "left")
     rest = tagged.where("NOT maybe").withColumn("places", F.lit(None).cast("array<int>"))
     schema = extended(docs.select(*columns), n_words="bigint", n_removed="bigint", kept_sha256="string", **{"kept_text": "string"} if keep_text else {})
