@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import materialise
 from .quality import SPACES
 
 #: Fractional part of the golden ratio, and the weights that repeat over the sources.
@@ -117,9 +118,10 @@ def mix(docs: DataFrame, block_words: int = 4096, weights: tuple[int, ...] = WEI
     spark = docs.sparkSession
     extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     base = docs.select(*extra).withColumns({"size": _size(F.col("text")), "_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "_t": F.md5(F.coalesce("text", F.lit("")))})
+    base = materialise(base.select("doc_id", "source", "size", "_h", "_t"), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most).withColumn("take", F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(most))).cast("bigint"))
-    light = place(base.select("doc_id", "source", "size", "_h", "_t"))
+    light = place(base)
     slots = schedule(spark, plan, block_words)
     # how often each block is taken in full, and the one slot of each source that may be cut
     taken = slots.groupBy("source", "block").agg(F.count("*").alias("times"), F.max(F.col("rank")).alias("last"))
