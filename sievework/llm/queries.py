@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, near_dup, quality, substring, token_fst
+from . import decontam, hmm, mixing, near_dup, quality, substring, token_fst
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_token_counts": token_fst.tokens_query,
         "op4_quality_rules": quality.quality_query,
         "op5_substring_dedup": substring.substring_query,
+        "op8_hidden_markov_lm": hmm.hmm_query,
         "op9_decontamination": decontam.decontam_query,
         "op10_source_mixing": mixing.mix_query,
     }
