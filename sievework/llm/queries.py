@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, hmm, mixing, near_dup, quality, substring, token_fst
+from . import decontam, hmm, html_blocks, mixing, near_dup, quality, substring, token_fst
 
 
 def queries():
     return {
+        "op1_html_extraction": html_blocks.extract_query,
         "op2_near_dedup": near_dup.near_dup_query,
         "op3_token_counts": token_fst.tokens_query,
         "op4_quality_rules": quality.quality_query,
