@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,24 @@ def extended(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *more.fields])
 
 
+def keeps(used: tuple[str, ...], adds: tuple[str, ...]):
+    """Decorates an operator on a DataFrame so that columns it doesn't use can have any name: they
+    travel inside one struct. The result has the frame's columns, but those named in adds, then adds."""
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            extra = [c for c in df.columns if c not in used and c not in adds]
+            inner = df.select(*used, *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_extra")] if extra else []))
+            out = operator(inner, *args, **options)
+            back = [F.col(c) if c in used else F.col("_extra").getField(c).alias(c) for c in df.columns if c not in adds]
+            return out.select(*back, *[c for c in adds if c in out.columns])
+
+        return run
+
+    return wrap
+
+
 def text_key(text: str = "text"):
     """A 64-bit name of a text. Decisions that depend on the text alone travel under it, so null,
     repeated or clashing ids never mix up documents."""

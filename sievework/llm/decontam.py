@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, extended, slices, spans
+from ._text import U64, Words, buffers, extended, keeps, slices, spans
 
 ERROR = 0.2
 BLOCK_BYTES = 8 << 20
@@ -127,15 +127,15 @@ class Items:
         return {row: [{"item_id": self.ids[i], "distance": d, "last_word": at} for i, (d, at) in sorted(own.items())] for row, own in found.items()}
 
 
+@keeps(("text",), ("leaks",))
 def find_leaks(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """docs with `leaks`: the items of the benchmark that stand in the text, [] if none."""
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c != "leaks"]
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = total // BLOCK_BYTES + 1
-    out = docs.select(*columns).withColumn("leaks", F.array().cast(LEAK))
-    schema = extended(docs.select(*columns), leaks=LEAK)
+    out = docs.withColumn("leaks", F.array().cast(LEAK))
+    schema = extended(docs, leaks=LEAK)
     for block in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
         out = out.mapInArrow(_finder(spark.sparkContext.broadcast(rows), error), schema)
@@ -159,7 +159,8 @@ def _finder(rows, error: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """The documents without a leak, columns as they were."""
-    return find_leaks(docs, benchmark, error).where(F.size("leaks") == 0).drop("leaks")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return find_leaks(named, benchmark, error).where(F.size("leaks") == 0).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def decontam_query(spark, sf_dir: str) -> DataFrame:

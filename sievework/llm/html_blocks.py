@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import extended
+from ._text import extended, keeps
 
 WINDOW, THRESHOLD = 3, 86
 #: Elements whose text is no text of the page, elements that are not the article,
@@ -180,17 +180,18 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(chosen)
 
 
-def extract(pages: DataFrame, source: str = "html") -> DataFrame:
+@keeps(("html",), ("main_text", "n_chars"))
+def extract(pages: DataFrame) -> DataFrame:
     """pages with main_text and n_chars."""
-    columns = [c for c in pages.columns if c not in ("main_text", "n_chars")]
+    columns = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(source)]
+            texts = [main_text(x.as_py()) for x in batch.column("html")]
             more = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.record_batch([batch.column(c) for c in columns] + more, [*columns, "main_text", "n_chars"])
 
-    return pages.select(*columns).mapInArrow(run, extended(pages.select(*columns), main_text="string", n_chars="bigint"))
+    return pages.mapInArrow(run, extended(pages, main_text="string", n_chars="bigint"))
 
 
 def extract_query(spark, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, materialise, mix, signed, slices, text_key, with_filter
+from ._text import U64, Words, buffers, keeps, materialise, mix, signed, slices, spans, text_key, with_filter
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -47,8 +47,6 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     row = words.rows()[at]
     short = np.flatnonzero((words.counts > 0) & (words.counts < size))
     if len(short):
-        from ._text import spans
-
         row = np.concatenate([row, short])
         g = np.concatenate([g, spans(h, "word", words.first[short], words.first[short + 1])])
     return row, g
@@ -218,23 +216,48 @@ def _labels(docs: DataFrame) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with class_id (smallest doc_id of the class) and class_size (its rows)."""
-    columns = [c for c in docs.columns if c not in ("class_id", "class_size")]
-    labels = _labels(docs)
-    rows = docs.select(*columns).withColumn("_k", text_key())
-    blank = F.coalesce(F.translate("text", "\t\n\x0b\x0c\r ", ""), F.lit("")) == ""
-    light = rows.select("doc_id", "_k", blank.alias("_blank")).where("NOT _blank")
+def _blank() -> Column:
+    return F.coalesce(F.translate("text", "\t\n\x0b\x0c\r ", ""), F.lit("")) == ""
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(_k, class_id, class_size, best_id, best_k) of the text keys in classes of several rows. rows: doc_id, text, _k."""
+    labels = _labels(rows)
+    light = rows.where(~_blank()).select("doc_id", "_k")
     light = light.join(labels.withColumnRenamed("k", "_k"), "_k", "left").withColumn("c", F.coalesce("c", "_k"))
-    classes = light.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_k"))).alias("best")
+    classes = light.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), best)
+    classes = classes.where("class_size > 1").select("c", "class_id", "class_size", F.col("best.doc_id").alias("best_id"), F.col("best._k").alias("best_k"))
+    return materialise(light.select("_k", "c").distinct().join(classes, "c"), "classes")
+
+
+def _tagged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be in a class of several, with its columns or nulls; the other rows)."""
+    rows = docs.withColumn("_k", text_key())
+    several = _classes(rows)
     # only texts of classes with several rows need to look their class up
-    several = materialise(light.select("_k", "c").distinct().join(classes.where("class_size > 1"), "c").drop("c"), "classes")
     tagged = with_filter(rows.withColumn("k", F.col("_k")), several.select(F.col("_k").alias("k"))).drop("k")
-    hit = tagged.where("maybe").join(several, "_k", "left")
-    rest = tagged.where("NOT maybe").withColumns({"class_id": F.lit(None).cast("bigint"), "class_size": F.lit(None).cast("bigint")})
+    return tagged.where("maybe").join(several, "_k", "left"), tagged.where("NOT maybe")
+
+
+@keeps(("doc_id", "text"), ("class_id", "class_size"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with class_id (smallest doc_id of the class) and class_size (its rows)."""
+    hit, rest = _tagged(docs)
     own = F.col("class_size").isNull()
-    out = hit.select(*columns, "class_id", "class_size").unionByName(rest.select(*columns, "class_id", "class_size"))
-    return out.withColumns({"class_id": F.when(own, F.col("doc_id")).otherwise(F.col("class_id")), "class_size": F.coalesce("class_size", F.lit(1).cast("bigint"))})
+    hit = hit.withColumn("class_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id"))).withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("bigint")))
+    rest = rest.withColumns({"class_id": F.col("doc_id"), "class_size": F.lit(1).cast("bigint")})
+    columns = [*docs.columns, "class_id", "class_size"]
+    return hit.select(*columns).unionByName(rest.select(*columns))
+
+
+@keeps(("doc_id", "text"), ())
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each class: that with the smallest doc_id, of equals the smallest text key."""
+    hit, rest = _tagged(docs)
+    alone = hit.where("class_size IS NULL")
+    best = hit.where((F.col("best_k") == F.col("_k")) & F.col("best_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["c"])
+    return alone.select(*docs.columns).unionByName(best.select(*docs.columns)).unionByName(rest.select(*docs.columns))
 
 
 def near_dup_query(spark, sf_dir: str) -> DataFrame:

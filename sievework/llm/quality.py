@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._text import keeps
+
 #: Fixed values of the word definition and of the symbols that count.
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
@@ -82,6 +84,7 @@ def measures(text: Column) -> list[dict[str, Column]]:
         {"_words": words_of(text), "_lines": lines},
         {"_order": _repeat_words(F.col("_words"))},
         {
+            "_row": F.monotonically_increasing_id(),
             "n_words": F.size("_words").cast("bigint"),
             "word_chars": F.length(F.translate(F.coalesce(text, F.lit("")), SPACES, "")).cast("bigint"),
             "n_symbols": (F.length(F.coalesce(text, F.lit(""))) - F.length(F.translate(F.coalesce(text, F.lit("")), SYMBOLS, ""))).cast("bigint"),
@@ -112,13 +115,29 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return verdict
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+ADDS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "mean_word_length",
+        "symbols_per_word", "stop_word_ratio", "dup_line_ratio", "mean_line_words", "base_failed", "kept")
+
+
+def _measured(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    for layer in measures(F.col("text")):
+        docs = docs.withColumns(layer)
+    return docs.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
+@keeps(("text",), ADDS)
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with all measures, base_failed and kept."""
-    out = docs
-    for layer in measures(F.col(text)):
-        out = out.withColumns(layer)
-    out = out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
-    return out.drop("_words", "_lines", "_order")
+    return _measured(docs, rules)
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that are kept, columns as they were."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    # a filter on the verdict alone would be pushed below the measures and spell each of them out
+    # in full many times over; one that needs the row mark stays above them
+    kept = _measured(named, rules).where(F.col("kept") & (F.col("_row") >= 0))
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:

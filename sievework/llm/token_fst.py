@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._text import extended
+from ._text import extended, keeps
 
 #: Fixed value: the pattern of the byte-level vocabulary, its white space spelled as the Unicode property.
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -266,19 +266,20 @@ def _counter(name: str) -> Counter:
     return _COUNTERS[name]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512, text: str = "text") -> DataFrame:
+@keeps(("text",), ("n_bytes", "n_tokens", "over_limit"))
+def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit. vocabulary: a path, or a name among the public tokenizers."""
-    columns = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(vocabulary)
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(text)]
+            texts = [x.as_py() or "" for x in batch.column("text")]
             n = [count(x) for x in texts]
             more = [pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])]
             yield pa.record_batch([batch.column(c) for c in columns] + more, [*columns, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(*columns).mapInArrow(run, extended(docs.select(*columns), n_bytes="bigint", n_tokens="bigint", over_limit="boolean"))
+    return docs.mapInArrow(run, extended(docs, n_bytes="bigint", n_tokens="bigint", over_limit="boolean"))
 
 
 def tokens_query(spark, sf_dir: str) -> DataFrame:
