@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes of text handled at once inside an Arrow batch; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 900_000
+#: Bytes of an Arrow batch; a single longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 #: 4 MB: bits of the filter in front of text joins. Its size does not depend on the data.
 BLOOM_BITS = 1 << 25
@@ -47,13 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df once into the shared folder and reads it again."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the Arrow batches that go to Python workers to BATCH_BYTES: rows of texts vary too much for a
+    bound on rows alone. The setting is read when a plan runs, so it stays set for the session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def extended(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df with more columns behind it."""
+    small_batches(df.sparkSession)
     more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
     return T.StructType([*df.schema.fields, *more.fields])
 

@@ -27,26 +27,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import Words, buffers, extended, materialise, signed, slices, text_key, with_filter
+from ._text import U64, Words, buffers, extended, keeps, materialise, mix, signed, slices, text_key, with_filter
 
 #: A perfect difference set modulo 21 (every remainder is a difference of two members).
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
 SIZE = 35
+SPREAD = 64
+#: Hashes that a worker gathers before it sends them on.
+GATHER = 1 << 19
 _OCC = np.dtype([("k", "<i8"), ("p", "<i4")])
 
 
 def _gather(h: np.ndarray, key: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """One row for each distinct hash: its count and the places where it stands."""
+    """One row for each distinct hash: its count and the place where it stands. A hash that stands in
+    several places here is shared already: its places go in rows of their own, SPREAD places each,
+    under other hashes and with a count of two, so that they don't meet in one task."""
     order = np.argsort(h, kind="stable")
-    h = h[order]
-    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    h, times = h[order], times[order]
+    head = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    start = np.flatnonzero(head)
+    count = np.diff(np.append(start, len(h)))
     occ = np.empty(len(h), _OCC)
     occ["k"], occ["p"] = key[order], at[order]
-    ends = np.concatenate([head, [len(h)]]).astype(np.int32) * _OCC.itemsize
-    blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(occ)])
-    n = np.add.reduceat(times[order], head) if len(h) else np.zeros(0, np.int64)
-    return pa.record_batch([pa.array(signed(h[head])), pa.array(n.astype(np.int64)), blobs], ["h", "n", "occ"])
+    alone = np.repeat(count == 1, count)
+    n = np.add.reduceat(times, start) if len(h) else np.zeros(0, np.int64)
+    moved = np.flatnonzero(~alone)
+    chunks = np.arange(0, len(moved), SPREAD)
+    own = h[moved[chunks]] ^ mix(occ["p"][moved[chunks]].astype(np.uint64) + occ["k"][moved[chunks]].view(np.uint64) + U64(1))
+    data = np.concatenate([occ[alone], occ[moved]])
+    lengths = np.concatenate([(count == 1).astype(np.int64), np.diff(np.append(chunks, len(moved)))])
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * _OCC.itemsize
+    blobs = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    hashes, counts = np.concatenate([h[start], own]), np.concatenate([n, np.full(len(chunks), 2)])
+    return pa.record_batch([pa.array(signed(hashes)), pa.array(counts.astype(np.int64)), blobs], ["h", "n", "occ"])
 
 
 def _distinct(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -73,6 +87,9 @@ def _anchors(size: int):
                 # windows need the whole size around them, so shorter texts have no anchor
                 use = cover[place % PERIOD] & (words.counts[row] >= size)
                 parts.append((h[use], keys[i:j][row[use]], place[use], times[i:j][row[use]]))
+                if sum(len(x[0]) for x in parts) > GATHER:
+                    yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
+                    parts = []
             if parts:
                 yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
 
@@ -104,6 +121,9 @@ def _windows(size: int):
                 at, h = at[use], h[use]
                 row = words.rows()[at]
                 parts.append((h, keys[i:j][row], at - words.first[row], times[i:j][row]))
+                if sum(len(x[0]) for x in parts) > GATHER:
+                    yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
+                    parts = []
             if parts:
                 yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
 
@@ -166,21 +186,22 @@ def _cut_text(raw: bytes, keep: np.ndarray) -> bytes:
     return view[np.cumsum(cut[:-1]) == 0].tobytes().rstrip()
 
 
+@keeps(("text",), ("n_words", "n_removed", "kept_sha256", "kept_text"))
 def dedup_substrings(docs: DataFrame, size: int = SIZE, keep_text: bool = True) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     if size < PERIOD:
         raise ValueError(f"a window needs {PERIOD} words or more")
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept_text")]
+    columns = docs.columns
     texts = docs.select(text_key().alias("k"), "text")
     anchors = _shared(texts.mapInArrow(_anchors(size), "h bigint, n bigint, occ binary"))
     anchors = materialise(anchors, "anchors")
     some = with_filter(texts, anchors.select("k")).where("maybe").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     held = some.join(anchors, "k").select("k", "text", "copies", "places")
     windows = materialise(_shared(held.mapInArrow(_windows(size), "h bigint, n bigint, occ binary")), "windows")
-    tagged = with_filter(docs.select(*columns).withColumn("k", text_key()), windows.select("k"))
+    tagged = with_filter(docs.withColumn("k", text_key()), windows.select("k"))
     hit = tagged.where("maybe").join(windows, "k", "left")
     rest = tagged.where("NOT maybe").withColumn("places", F.lit(None).cast("array<int>"))
-    schema = extended(docs.select(*columns), n_words="bigint", n_removed="bigint", kept_sha256="string", **{"kept_text": "string"} if keep_text else {})
+    schema = extended(docs, n_words="bigint", n_removed="bigint", kept_sha256="string", **{"kept_text": "string"} if keep_text else {})
     need = [*columns, "places"]
     return hit.select(*need).unionByName(rest.select(*need)).mapInArrow(_removal(size, columns, keep_text), schema)
 
