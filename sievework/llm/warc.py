@@ -31,7 +31,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import extended, shared_dir
+from ._text import extended, materialise, shared_dir, with_filter
 
 LEAST_BYTES, SAMPLE = 100, 8192
 SHARD_BYTES, ROLL_BYTES, LEAST_SHARDS = 256 << 20, 64 << 20, 64
@@ -44,7 +44,13 @@ def classified(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
     groups = rows.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("refers"), F.count("*").alias("_n"))
-    return rows.join(groups.where("_n > 1").drop("_n"), "payload_digest", "left")
+    groups = materialise(groups.where("_n > 1").select("payload_digest", "refers"), "payload-groups")
+    # payloads without an equal need no join, and so no shuffle
+    key = F.xxhash64("payload_digest").alias("k")
+    tagged = with_filter(rows.withColumn("k", key), groups.select(key)).drop("k")
+    columns = [*rows.columns, "refers"]
+    alone = tagged.where("NOT maybe").withColumn("refers", F.lit(None).cast(groups.schema["refers"].dataType))
+    return tagged.where("maybe").join(groups, "payload_digest", "left").select(*columns).unionByName(alone.select(*columns))
 
 
 def bounds(rows: DataFrame, shards: int) -> np.ndarray:
