@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import wraps
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Holds the Arrow batches that go to Python workers to BATCH_BYTES: rows of texts vary too much for a
     bound on rows alone. The setting is read when a plan runs, so it stays set for the session."""
+    # workers that don't start in the repository find the package where the driver has it
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES:
