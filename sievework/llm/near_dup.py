@@ -7,9 +7,10 @@ Jaccard similarity of their weights (the plain one where no shingle repeats). Pr
 the time by which all registers are almost surely filled; texts with a register left run on.
 
 Registers are banded; texts that share a band are candidates. Candidates are verified exactly: links
-are pairs with similarity 0.8 or more. Within a bucket only pairs with its smallest member are
-tested first; then, over the components found, only pairs of members of different components whose
-signatures are not far apart, as no other pair can change a class. Components come from alternating
+are pairs with similarity 0.8 or more. Within a bucket pairs with one member, the one that shares
+buckets with the most texts, are tested first. What is left are pairs of members of different
+components (no other pair can change a class); those are compared by sketches of FINE registers of
+four bits inside the join, and verified unless these are far apart. Components come from alternating
 star contractions of the links.
 
 Scale: exact copies meet in one node (the text's key), so their number costs a row each at the first
@@ -35,8 +36,12 @@ from ._text import U64, Words, buffers, keeps, materialise, mix, signed, slices,
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
-#: Pairs of different components are verified if so much of their signatures agrees: 5 deviations under LEAST.
-AGREE = 0.64
+#: Registers of the fine sketch, four bits each, and in how many those of a pair to verify may differ:
+#: at a similarity of LEAST one differs with a chance of 0.2 * 15 / 16; the bound is 4 deviations above.
+FINE = 1024
+_DIFFER = (1 - LEAST) * 15 / 16
+FINE_APART = int(FINE * _DIFFER + 4 * (FINE * _DIFFER * (1 - _DIFFER)) ** 0.5)
+FINE_SCHEMA = "k bigint, " + ", ".join(f"f{i} bigint" for i in range(FINE // 16))
 _ID = U64((1 << 44) - 1)
 
 
@@ -83,8 +88,9 @@ def signatures(row: np.ndarray, h: np.ndarray, rows: int, m: int = BANDS * ROWS)
     while left.any():
         use = left[row]
         r, k, t, x = _arrivals(row[use], e[use], w[use], until, m)
+        # one key sorts by register, then by time in 2**40 steps up to the time until which it runs
         cell = r * m + k
-        order = np.lexsort((t, cell))
+        order = np.argsort(cell.astype(np.uint64) << U64(40) | (t / until[r] * (2.0**40 - 1)).astype(np.uint64))
         cell, x = cell[order], x[order]
         head = np.concatenate([[True], cell[1:] != cell[:-1]])
         cell, x = cell[head], x[head]
@@ -98,7 +104,7 @@ def signatures(row: np.ndarray, h: np.ndarray, rows: int, m: int = BANDS * ROWS)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each distinct text of a batch: its key, band keys and a short form of its signature."""
+    """For each distinct text of a batch: its key and its band keys."""
     for batch in batches:
         _, first = np.unique(batch.column("k").to_numpy(), return_index=True)
         batch = batch.take(pa.array(first))
@@ -118,8 +124,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([
                 pa.array(keys[i:j][some]),
                 flat(signed(bands), pa.int64()).cast(pa.list_(pa.int64())),
-                flat((sig & U64(0x7FFF)).astype(np.int16), pa.int16()).cast(pa.list_(pa.int16())),
-            ], ["k", "bands", "sig"])
+            ], ["k", "bands"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -190,32 +195,69 @@ def components(edges: DataFrame) -> DataFrame:
 def _labels(docs: DataFrame) -> DataFrame:
     """(k, c) for the text keys that are linked to another text."""
     texts = docs.select(text_key().alias("k"), "text")
-    sketch = materialise(texts.mapInArrow(_sketch, "k bigint, bands array<bigint>, sig array<smallint>"), "sketches")
+    sketch = materialise(texts.mapInArrow(_sketch, "k bigint, bands array<bigint>"), "sketches")
     rows = sketch.select("k", F.explode("bands").alias("band"))
-    pivots = rows.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").drop("z")
-    shared = materialise(rows.join(pivots, "band").select("band", "a", "k"), "buckets")
-    stars = materialise(shared.where("k <> a").select("a", F.col("k").alias("b")).distinct(), "stars")
-    near = shared.select("k").distinct()
-    held = with_filter(texts, near).where("maybe").join(near, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
-    held = materialise(held, "texts")
+    buckets = rows.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.count("*").alias("n")).where("a <> z").select("band", "n")
+    shared = materialise(rows.join(buckets, "band").distinct(), "buckets")
+    # a text that shares its buckets with many is near the middle of its group
+    middle = shared.groupBy("k").agg(F.sum("n").alias("near"))
+    members = materialise(shared.join(middle, "k").select("band", "k", "near"), "members")
+    pivots = members.groupBy("band").agg(F.max(F.struct("near", F.col("k").alias("a"))).alias("m")).select("band", "m.a")
+    stars = members.join(pivots, "band").where("a <> k").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
+    stars = materialise(stars, "stars")
+    near = members.select("k").distinct()
+    held = with_filter(texts, near).where("maybe").groupBy("k").agg(F.first("text").alias("text"))
+    held = materialise(held.join(near, "k", "left_semi"), "texts")
     links = materialise(verified(stars, held), "links")
     labels = components(links)
-    # buckets that still hold several components: their members of different ones
-    label = shared.select("band", "k").distinct().join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    mixed = label.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
-    open_ = label.join(mixed, "band", "left_semi")
-    open_ = materialise(open_.join(sketch.select("k", "sig").dropDuplicates(["k"]), "k"), "open")
-    x = open_.select("band", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
-    y = open_.select("band", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("sig").alias("sb"))
-    alike = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda v: v)) >= int(AGREE * BANDS * ROWS)
-    cross = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
-    cross = cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(verified(materialise(cross, "cross"), held), "more-links")
+    # what is left: pairs of members in different components, but those whose fine sketches are far apart
+    open_ = materialise(_open(members, labels), "open")
+    if open_.isEmpty():
+        return labels
+    fine = held.join(open_.select("k").distinct(), "k", "left_semi").mapInArrow(_fine_sketch, FINE_SCHEMA)
+    fine = materialise(fine.join(sketch.select("k", "bands").dropDuplicates(["k"]), "k"), "fine")
+    rows = open_.join(fine, "k")
+    side = lambda t: rows.select("band", F.col("k").alias(t), F.col("c").alias(f"c{t}"), F.col("bands").alias(f"bands{t}"), *[F.col(f"f{i}").alias(f"{t}{i}") for i in range(FINE // 16)])
+    x, y = side("a"), side("b").withColumnRenamed("band", "band_b")
+    first = F.element_at(F.array_intersect("bandsa", "bandsb"), 1) == F.col("band")
+    cross = x.join(y, (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_apart() <= FINE_APART) & first).select("a", "b")
+    cross = materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    more = materialise(verified(cross, held), "more-links")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more))
 
 
+def _apart() -> Column:
+    """In how many registers two fine sketches differ: four bits a register, sixteen registers a long."""
+    total = F.lit(0)
+    for i in range(FINE // 16):
+        x = F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, k, c): the members of buckets that hold several components."""
+    label = members.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    mixed = label.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
+    return label.join(mixed, "band", "left_semi").select("band", "k", "c")
+
+
+def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text four bits of each of FINE registers, in FINE / 16 longs."""
+    places = np.arange(0, 64, 4, dtype=np.uint64)
+    for batch in batches:
+        keys, (raw, offs) = batch.column("k").to_numpy(), buffers(batch.column("text"))
+        for i, j in slices(offs, 1 << 18):
+            words = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            bits = mix(signatures(*shingles(words), j - i, FINE)) & U64(15)
+            longs = (bits.reshape(j - i, FINE // 16, 16) << places).sum(axis=2, dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(keys[i:j]), *(pa.array(np.ascontiguousarray(c)) for c in longs.T)], ["k", *(f"f{n}" for n in range(FINE // 16))])
+
+
 def _blank() -> Column:
     return F.coalesce(F.translate("text", "\t\n\x0b\x0c\r ", ""), F.lit("")) == ""
 
