@@ -26,8 +26,8 @@ from .quality import SPACES
 #: Fractional part of the golden ratio, and the weights that repeat over the sources.
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
-#: Hex digits of the order's hash that name a cell: 256 cells a source.
-CELL_DIGITS = 2
+#: Hex digits of the order's hash that name a cell: 4,096 cells a source.
+CELL_DIGITS = 3
 
 
 def _size(text: Column) -> Column:
