@@ -6,6 +6,9 @@ maximal runs of bytes outside 0x20 and 0x09-0x0D, so UTF-8 text needs no decodin
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -143,13 +146,31 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `most` bytes each; a longer row stands alone."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many rows with about `most` bytes each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
+
+
+def tidy(run):
+    """Decorates what a worker runs over a partition: when it ends, freed memory goes back to the system,
+    as idle workers stay alive beside those of the next stage."""
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform.startswith("linux"):
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
 
 
 class Words:
@@ -220,4 +241,4 @@ def with_filter(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 hit &= (table[b // 8] >> (b % 8).astype(np.uint8) & 1).astype(bool)
             yield batch.drop_columns(["_b1", "_b2"]).append_column("maybe", pa.array(hit))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, extended, keeps, slices, spans
+from ._text import U64, Words, buffers, extended, keeps, slices, spans, tidy
 
 ERROR = 0.2
 BLOCK_BYTES = 8 << 20
@@ -138,7 +138,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> D
     schema = extended(docs, leaks=LEAK)
     for block in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        out = out.mapInArrow(_finder(spark.sparkContext.broadcast(rows), error), schema)
+        out = out.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(rows), error)), schema)
     return out
 
 

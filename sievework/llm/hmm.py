@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, materialise, mix, signed, slices
+from ._text import U64, Words, buffers, materialise, mix, signed, slices, tidy
 
 STATES, ROUNDS, STRETCH = 6, 5, 64
 OWN, ENDINGS, HOT = 2047, 192, 1 << 17
@@ -239,7 +239,7 @@ def train(codes: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states: i
     spark, model, history = codes.sparkSession, start(unigram, states), []
     k, c = states, len(unigram)
     for _ in range(rounds):
-        sums = codes.select("seq").mapInArrow(_trainer(spark.sparkContext.broadcast(model)), "i int, v double")
+        sums = codes.select("seq").mapInArrow(tidy(_trainer(spark.sparkContext.broadcast(model))), "i int, v double")
         got = np.zeros(k + k * k + k * c + 1)
         table = sums.groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         got[table["i"].to_numpy()] = table["v"].to_numpy()
@@ -258,21 +258,21 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFr
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = docs.select("doc_id", "text", (crc % HELD_OUT[0] == HELD_OUT[1]).alias("held_out"))
-    counts = docs.where("NOT held_out").select("text").mapInArrow(_count, "h bigint, e int, n bigint")
+    counts = docs.where("NOT held_out").select("text").mapInArrow(tidy(_count), "h bigint, e int, n bigint")
     counts = materialise(counts.groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("c")), "counts")
     total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("e") < 0, F.col("c"))), F.lit(0))).first()
     words = counts.where("e >= 0")
     hot = words.orderBy(F.desc("c"), "h").limit(HOT).toArrow()
     sizes = [tuple(r) for r in words.groupBy("e").agg(F.sum("c"), F.count("*")).collect()]
     lookup = Lookup(hot, sizes, total, distinct)
-    codes = docs.mapInArrow(_coder(spark.sparkContext.broadcast(lookup)), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, seq binary, rare array<bigint>, times array<int>")
+    codes = docs.mapInArrow(tidy(_coder(spark.sparkContext.broadcast(lookup))), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, seq binary, rare array<bigint>, times array<int>")
     codes = materialise(codes.withColumn("uid", F.monotonically_increasing_id()), "codes")
     unigram = np.zeros(CLASSES)
     unigram[0] = ends
     unigram[1 + lookup.own[lookup.own >= 0]] = lookup.c[lookup.own >= 0]
     unigram[1 + OWN :] = np.maximum(10**-lookup.share - 1, 0)
     model, _ = train(codes.where("NOT held_out"), (unigram + 1) / (unigram + 1).sum(), rounds, states)
-    scored = codes.drop("rare", "times").mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, uid bigint, forward double")
+    scored = codes.drop("rare", "times").mapInArrow(tidy(_scorer(spark.sparkContext.broadcast(model))), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, uid bigint, forward double")
     rare = codes.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
     rare = rare.join(words.select("h", "c"), "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"))
     out = scored.join(rare, "uid", "left").withColumns({"more": F.coalesce("more", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})

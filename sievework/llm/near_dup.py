@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, keeps, materialise, mix, signed, slices, spans, text_key, with_filter
+from ._text import U64, Words, buffers, keeps, materialise, mix, signed, slices, spans, text_key, tidy, with_filter
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -68,7 +68,7 @@ def _arrivals(row: np.ndarray, e: np.ndarray, w: np.ndarray, until: np.ndarray,
         found.append((row[i], (mix(x[i, c]) % U64(m)).astype(np.int64), time[i, c], e[i]))
         on = time[:, -1] <= until[row]
         row, e, w, t, j = row[on], e[on], w[on], time[on, -1], j[on] + U64(block)
-        block = 8
+        block = min(32, 2 * block)
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
@@ -77,7 +77,7 @@ def signatures(row: np.ndarray, h: np.ndarray, rows: int, m: int = BANDS * ROWS)
     out = np.zeros((rows, m), np.uint64)
     # one key sorts by row and element; 44 bits name an element well enough for candidates
     base = row.min() if len(row) else 0
-    if rows > 1 << 19:
+    if rows * m >= 1 << 24:
         raise ValueError("too many rows at once")
     key, n = np.unique((row - base).astype(np.uint64) << U64(44) | h & _ID, return_counts=True)
     row, e, w = (key >> U64(44)).astype(np.int64) + base, key & _ID, n.astype(np.float64)
@@ -103,13 +103,18 @@ def signatures(row: np.ndarray, h: np.ndarray, rows: int, m: int = BANDS * ROWS)
     return out
 
 
+def _at_once(m: int) -> int:
+    """Rows whose arrivals at m registers are about 400,000 in all."""
+    return max(1, int(400_000 / (m * (np.log(m) + 4))))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each distinct text of a batch: its key and its band keys."""
     for batch in batches:
         _, first = np.unique(batch.column("k").to_numpy(), return_index=True)
         batch = batch.take(pa.array(first))
         keys, (raw, offs) = batch.column("k").to_numpy(), buffers(batch.column("text"))
-        for i, j in slices(offs):
+        for i, j in slices(offs, rows=_at_once(BANDS * ROWS)):
             words = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             row, h = shingles(words)
             some = np.flatnonzero(words.counts > 0)
@@ -166,7 +171,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of text keys whose texts are similar. texts: k, text, one row a key."""
     left = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(tidy(_verify), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _labels(docs: DataFrame) -> DataFrame:
     """(k, c) for the text keys that are linked to another text."""
     texts = docs.select(text_key().alias("k"), "text")
-    sketch = materialise(texts.mapInArrow(_sketch, "k bigint, bands array<bigint>"), "sketches")
+    sketch = materialise(texts.mapInArrow(tidy(_sketch), "k bigint, bands array<bigint>"), "sketches")
     rows = sketch.select("k", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.count("*").alias("n")).where("a <> z").select("band", "n")
     shared = materialise(rows.join(buckets, "band").distinct(), "buckets")
@@ -214,7 +219,7 @@ def _labels(docs: DataFrame) -> DataFrame:
     open_ = materialise(_open(members, labels), "open")
     if open_.isEmpty():
         return labels
-    fine = held.join(open_.select("k").distinct(), "k", "left_semi").mapInArrow(_fine_sketch, FINE_SCHEMA)
+    fine = held.join(open_.select("k").distinct(), "k", "left_semi").mapInArrow(tidy(_fine_sketch), FINE_SCHEMA)
     fine = materialise(fine.join(sketch.select("k", "bands").dropDuplicates(["k"]), "k"), "fine")
     rows = open_.join(fine, "k")
     side = lambda t: rows.select("band", F.col("k").alias(t), F.col("c").alias(f"c{t}"), F.col("bands").alias(f"bands{t}"), *[F.col(f"f{i}").alias(f"{t}{i}") for i in range(FINE // 16)])
@@ -251,7 +256,7 @@ def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places = np.arange(0, 64, 4, dtype=np.uint64)
     for batch in batches:
         keys, (raw, offs) = batch.column("k").to_numpy(), buffers(batch.column("text"))
-        for i, j in slices(offs, 1 << 18):
+        for i, j in slices(offs, rows=_at_once(FINE)):
             words = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             bits = mix(signatures(*shingles(words), j - i, FINE)) & U64(15)
             longs = (bits.reshape(j - i, FINE // 16, 16) << places).sum(axis=2, dtype=np.uint64).view(np.int64)

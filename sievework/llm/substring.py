@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, extended, keeps, materialise, mix, signed, slices, text_key, with_filter
+from ._text import U64, Words, buffers, extended, keeps, materialise, mix, signed, slices, text_key, tidy, with_filter
 
 #: A perfect difference set modulo 21 (every remainder is a difference of two members).
 PERIOD = 21
@@ -139,7 +139,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(rows: DataFrame) -> DataFrame:
     """(k, places): where hashes stand that occur twice or more, by text key."""
     rows = rows.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where("all > 1").select("occ")
-    return rows.mapInArrow(_unpack, "k bigint, p int").groupBy("k").agg(F.collect_set("p").alias("places"))
+    return rows.mapInArrow(tidy(_unpack), "k bigint, p int").groupBy("k").agg(F.collect_set("p").alias("places"))
 
 
 def _removal(size: int, columns: list[str], keep_text: bool):
@@ -193,17 +193,17 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, keep_text: bool = True)
         raise ValueError(f"a window needs {PERIOD} words or more")
     columns = docs.columns
     texts = docs.select(text_key().alias("k"), "text")
-    anchors = _shared(texts.mapInArrow(_anchors(size), "h bigint, n bigint, occ binary"))
+    anchors = _shared(texts.mapInArrow(tidy(_anchors(size)), "h bigint, n bigint, occ binary"))
     anchors = materialise(anchors, "anchors")
     some = with_filter(texts, anchors.select("k")).where("maybe").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     held = some.join(anchors, "k").select("k", "text", "copies", "places")
-    windows = materialise(_shared(held.mapInArrow(_windows(size), "h bigint, n bigint, occ binary")), "windows")
+    windows = materialise(_shared(held.mapInArrow(tidy(_windows(size)), "h bigint, n bigint, occ binary")), "windows")
     tagged = with_filter(docs.withColumn("k", text_key()), windows.select("k"))
     hit = tagged.where("maybe").join(windows, "k", "left")
     rest = tagged.where("NOT maybe").withColumn("places", F.lit(None).cast("array<int>"))
     schema = extended(docs, n_words="bigint", n_removed="bigint", kept_sha256="string", **{"kept_text": "string"} if keep_text else {})
     need = [*columns, "places"]
-    return hit.select(*need).unionByName(rest.select(*need)).mapInArrow(_removal(size, columns, keep_text), schema)
+    return hit.select(*need).unionByName(rest.select(*need)).mapInArrow(tidy(_removal(size, columns, keep_text)), schema)
 
 
 def substring_query(spark, sf_dir: str) -> DataFrame:
