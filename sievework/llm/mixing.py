@@ -114,11 +114,11 @@ def schedule(spark, plan: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = 4096, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs with size, source_size, target and taken. block_words sets the grain of the schedule."""
+    """One row a document: doc_id, source, size, source_size, target, taken, and start, its place in the
+    source's order. block_words sets the grain of the schedule. Other columns are not carried along."""
     spark = docs.sparkSession
-    extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    base = docs.select(*extra).withColumns({"size": _size(F.col("text")), "_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "_t": F.md5(F.coalesce("text", F.lit("")))})
-    base = materialise(base.select("doc_id", "source", "size", "_h", "_t"), "sizes")
+    name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.md5(F.coalesce("text", F.lit("")))
+    base = materialise(docs.select("doc_id", "source", _size(F.col("text")).alias("size"), name[0].alias("_h"), name[1].alias("_t")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most).withColumn("take", F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(most))).cast("bigint"))
     light = place(base)

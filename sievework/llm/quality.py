@@ -78,7 +78,7 @@ def _covered(order: Column) -> Column:
 
 def measures(text: Column) -> list[dict[str, Column]]:
     """Layers of named expressions; each layer may use the names of those before."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, SPACES, "") != "")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return [
         {"_words": words_of(text), "_lines": lines},
