@@ -78,8 +78,8 @@ def _member(header: bytes, *block: bytes) -> bytes:
 
 
 def record(page_id: int | None, nth: int, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member."""
-    name = lambda i, k: f"<urn:uuid:{uuid.uuid5(_URN, f'{i}/{k}')}>"
+    """One record as a gzip member. nth: how many records of this page_id and digest came before it."""
+    name = lambda i, k: f"<urn:uuid:{uuid.uuid5(_URN, f'{i}/{digest}/{k}')}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = (http,) if revisit else (http, payload)
     whole = hashlib.sha256()
@@ -135,7 +135,7 @@ MANIFEST = "file string, shard int, records bigint, bytes bigint, sha256 string"
 
 def _writer(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, last, nth = None, (None, None), 0
+        roller, last, nth = None, None, 0
         names = ["file", "shard", "records", "bytes", "sha256"]
         types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         rows = lambda found: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
@@ -148,10 +148,9 @@ def _writer(folder: str, most: int):
                     if roller is not None:
                         done.append(roller.close())
                     roller = _Roller(folder, shard, most)
-                nth = nth + 1 if last[0] == (shard, page_id) else 0
-                first = last != ((shard, page_id), digest)
-                last = (shard, page_id), digest
-                revisit = refers is not None and not (page_id == refers and first)
+                nth = nth + 1 if last == (page_id, digest) else 0
+                last = page_id, digest
+                revisit = refers is not None and not (page_id == refers and nth == 0)
                 done += roller.write(record(page_id, nth, url, payload, digest, refers, revisit))
             if done:
                 yield rows(done)

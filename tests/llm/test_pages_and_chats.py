@@ -48,7 +48,7 @@ def pages(spark):
     r = random.Random(1)
     same = "<p>" + "same " * 40 + "</p>"
     rows = [(i, f"http://x/{i}?a=\r\nb", f"<p>{r.random()}</p>" * r.randint(1, 40)) for i in range(60)]
-    rows += [(200 - i, "u", same) for i in range(12)] + [(None, "u", same), (None, None, None), (300, None, ""), (301, None, "short"), (302, None, "short"), (303, "é", "ü" * 50), (304, "é", "ü" * 50), (189, "u", same), (5, "u", "other" * 30)]
+    rows += [(200 - i, "u", same) for i in range(12)] + [(None, "u", same), (None, None, None), (300, None, ""), (301, None, "short"), (302, None, "short"), (303, "é", "ü" * 50), (304, "é", "ü" * 50), (189, "u", same), (189, "u", "another text " * 9), (189, "u", "zzz"), (5, "u", "other" * 30)]
     return spark.createDataFrame(rows, "page_id long, url string, html string"), rows
 
 
@@ -82,6 +82,11 @@ def test_warc_round_trip(spark, tmp_path):
     for name, _, n, size, sha in a:
         raw = (tmp_path / "a" / name).read_bytes()
         assert len(raw) == size and hashlib.sha256(raw).hexdigest() == sha and gzip.decompress(raw).count(b"WARC/1.1") == n + 1
+    heads = [h for name, *_ in a for h, _ in warc.records(gzip.open(tmp_path / "a" / name))]
+    names = [h["warc-record-id"] for h in heads]
+    assert len(set(names)) == len(names)
+    responses = {h["warc-record-id"]: h["warc-payload-digest"] for h in heads if h["warc-type"] == "response"}
+    assert all(responses[h["warc-refers-to"]] == h["warc-payload-digest"] for h in heads if h["warc-type"] == "revisit")
     # a file that the manifest doesn't list is not read
     (tmp_path / "a" / "stray.warc.gz").write_bytes(b"junk")
     assert warc.read_warc(made[0], folders[0]).count() == len(rows)
