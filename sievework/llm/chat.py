@@ -8,7 +8,8 @@ the smallest id. What is kept is rendered with a template.
 
 Scale: positions and prefix hashes are taken in two steps, within blocks of BLOCK turns and over the
 blocks of a conversation, so a conversation with a third of all rows is spread over its blocks, and
-is rendered in parts of PART turns. Common first turns and common conversations are aggregated before
+is rendered in parts of PART turns (different rows under one turn number stay in one block; only a
+log that gives a great many of them one number makes that block large). Common first turns and common conversations are aggregated before
 the join.
 
 Defined results: exact repeats of a row are one turn; turns stand in the order of (turn, role, text),
