@@ -20,7 +20,7 @@ from sievework.llm._text import materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.passing(docs)
+    return quality.passing(docs, quality.PIPELINE_RULES)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,16 @@ def test_quality(frame, clashing):
     assert quality.quality(frame([])).count() == 0 and quality.passing(frame([])).count() == 0
 
 
+def test_pipeline_rejects_symbol_junk(spark, frame):
+    """A symbol every third word is junk, one in twenty words is not."""
+    import corpus_pipeline
+
+    r = random.Random(14)
+    text = lambda every: " ".join(("the" if i % 4 == 0 else "".join(r.choice("abcdefgh") for _ in range(6))) + " |" * (i % every == 0) for i in range(120))
+    rows = [(1, text(3), "s"), (2, text(20), "s"), (3, text(1000), "s")]
+    assert [x[0] for x in rows_of(corpus_pipeline.quality_stage(spark, frame(rows), "").orderBy("doc_id"), "doc_id")] == [2, 3]
+
+
 # 10
 
 
