@@ -7,6 +7,9 @@ part, for all lines outside it. Sums over windows of WINDOW lines show where tex
 sum exceeds a threshold, with text in the lines behind) and ends (a dive: the sum falls to 0); the text
 between, links included, is kept. Where the page names its article, any text is a surge.
 
+An element within a line that is not the article (a button, a marked span) has lines of its own; the text
+behind it goes on in the line that it stands in.
+
 Scale: a page is read once, on its own, without a shuffle; a long page costs memory in proportion.
 
 Defined results: null and empty pages give the empty text; broken markup is read as far as it goes (an
@@ -41,9 +44,10 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "toolbar", "widget"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ARTICLE = {"article", "main"}
+READ = {"class", "id", "role", "hidden", "aria-hidden"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _NAME = re.compile(r"[^\s]+")
 _WITH = re.compile(r"^(?:has|with|no|without)[-_]", re.I)
@@ -63,6 +67,8 @@ def _marked(attributes: str) -> tuple[bool, bool]:
     main = False
     for name, *values in _ATTR.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
+        if name not in READ:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True, False
         for word in _NAME.findall(value):
@@ -75,8 +81,9 @@ def _marked(attributes: str) -> tuple[bool, bool]:
 def lines_of(page: str) -> list[Line]:
     """Strips the markup of a page into lines."""
     lines: list[Line] = []
-    # open elements: (name, is it the start of an outside part, of the article, is it a link)
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # open elements: (name, is it the start of an outside part, of the article, is it a link, the line that
+    # goes on behind it, if it is an outside part within a line)
+    stack: list[tuple[str, bool, bool, bool, Line | None]] = []
     outside = article = link = 0
     line = Line(False, False)
 
@@ -94,10 +101,15 @@ def lines_of(page: str) -> list[Line]:
                 line.length += len("".join(piece.split()))
 
     def close(n: int) -> None:
-        nonlocal outside, article, link
+        nonlocal outside, article, link, line
         while len(stack) > n:
-            _, out, art, anchor = stack.pop()
+            name, out, art, anchor, rest = stack.pop()
             outside, article, link = outside - out, article - art, link - anchor
+            if rest is not None:
+                fresh()
+                line = rest
+            elif art and name not in BLOCKS:
+                fresh()
 
     at, end = 0, len(page)
     while at < end:
@@ -140,16 +152,20 @@ def lines_of(page: str) -> list[Line]:
         if out and article and name == "header":
             out = False
             # a header inside the article keeps its headings only
-            stack.append(("header", False, False, False))
+            stack.append(("header", False, False, False, None))
             fresh()
             continue
         art = art and not outside and not out
-        stack.append((name, out, art, name == "a"))
+        rest = line if out and name not in BLOCKS and name != "head" else None
+        stack.append((name, out, art, name == "a", rest))
         outside, article, link = outside + out, article + art, link + (name == "a")
-        if name in BLOCKS or out or art:
+        if rest is not None:
+            line = Line(True, article > 0)
+        elif name in BLOCKS or art:
             fresh()
             if any(x[0] == "header" for x in stack) and name not in HEADINGS and not outside and article:
                 line.outside = True
+    close(0)
     fresh()
     return lines
 

@@ -29,6 +29,20 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p>Text <button>Copy</button> rest of the sentence</p><p>next</p></article>", "Text rest of the sentence\n\nnext"),
+    ('<article><p>Text <span class="ad">x <b>y</b></span> rest</p></article>', "Text rest"),
+    ("<article><p>Te<b hidden>no</b>xt <a class=share href=/x>no</a><i>rest</i></article>", "Text rest"),
+    ("<article><p>one <span class=ad><div>x</div> y</span> two</p></article>", "one two"),
+    ("<article><p>one <span class=ad>x</p><p>two</p></article>", "one\n\ntwo"),
+    ("<article><button>x</button><p>one</p>tail <button>y", "one\n\ntail"),
+    ('<article><p title="the hidden cost">kept</p><p data-x=\'a class="ad" b\'>kept</p><p title="x"hidden>no</p><p href=/hidden>kept</p><p "hidden">kept</p></article>', "kept\n\nkept\n\nkept\n\nkept"),
+    ("<b role=main>in</b> behind", "in"),
+])
+def test_outside_parts_within_a_line(page, want):
+    assert main_text(page) == want
+
+
 def test_surge_and_dive():
     """Far text of some length is kept, a far short line between menus is not."""
     links = "<ul>" + "<li><a>menu</a></li>" * 8 + "</ul>"
