@@ -1,11 +1,14 @@
 """Operator 1, HTML extraction by line-block distribution.
 
-Markup is stripped into lines, one a block element. A line's length is its text outside links, 0 for
-lines inside elements that are not the article by their name, role or class (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) and, where a page names its article or main
-part, for all lines outside it. Sums over windows of WINDOW lines show where text begins (a surge: the
-sum exceeds a threshold, with text in the lines behind) and ends (a dive: the sum falls to 0); the text
-between, links included, is kept. Where the page names its article, any text is a surge.
+Markup is stripped into lines, one a block element. Lines inside elements that are not the article by
+their name, role or class (menus, headers, footers, sidebars, notices, adverts, forms, reader comments)
+go. Where a page names its article or main part, all its other lines are kept. Elsewhere a line's length
+is its text outside links. Sums over windows of WINDOW lines show where text begins (a surge: the sum
+exceeds a threshold, with text in the lines behind) and ends (a dive: the sum falls to 0); the text
+between, links included, is kept.
+
+A link is an <a>, but for one with a name or id and no href, which is a place to link to. One that the next <a> or the end of the page finds open ends there or where a block
+begins or ends, whichever is first.
 
 An element within a line that is not the article (a button, a marked span) has lines of its own; the text
 behind it goes on in the line that it stands in.
@@ -48,6 +51,7 @@ READ = {"class", "id", "role", "hidden", "aria-hidden"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NEXT_A = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _WORD = re.compile(r"[a-z]+")
 _NAME = re.compile(r"[^\s]+")
 _WITH = re.compile(r"^(?:has|with|no|without)[-_]", re.I)
@@ -62,20 +66,22 @@ class Line:
         self.parts, self.length, self.outside, self.article = [], 0, outside, article
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """(whether the attributes mark what is not the article, whether the role is main)."""
-    main = False
+def _marked(attributes: str) -> tuple[bool, bool, bool]:
+    """(whether the attributes mark what is not the article, whether the role is main, is it a place to link to)."""
+    marked = main = href = place = False
     for name, *values in _ATTR.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
+        href |= name == "href"
+        place |= name in ("name", "id")
         if name not in READ:
             continue
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, False
+            marked = True
         for word in _NAME.findall(value):
             main |= name == "role" and word == "main"
             if not _WITH.match(word) and not MARKS.isdisjoint(_WORD.findall(word)):
-                return True, False
-    return False, main
+                marked = True
+    return marked, main and not marked, place and not href
 
 
 def lines_of(page: str) -> list[Line]:
@@ -84,7 +90,8 @@ def lines_of(page: str) -> list[Line]:
     # open elements: (name, is it the start of an outside part, of the article, is it a link, the line that
     # goes on behind it, if it is an outside part within a line)
     stack: list[tuple[str, bool, bool, bool, Line | None]] = []
-    outside = article = link = 0
+    # loose is the number of open elements <a> without an end before the next <a>; they have the name "<a"
+    outside = article = link = loose = 0
     line = Line(False, False)
 
     def fresh() -> None:
@@ -101,16 +108,26 @@ def lines_of(page: str) -> list[Line]:
                 line.length += len("".join(piece.split()))
 
     def close(n: int) -> None:
-        nonlocal outside, article, link, line
+        nonlocal outside, article, link, line, loose
         while len(stack) > n:
             name, out, art, anchor, rest = stack.pop()
-            outside, article, link = outside - out, article - art, link - anchor
+            outside, article, link, loose = outside - out, article - art, link - anchor, loose - (name == "<a")
             if rest is not None:
                 fresh()
                 line = rest
             elif art and name not in BLOCKS:
                 fresh()
 
+    def within(names: tuple[str, ...]) -> int:
+        """Where the outermost open element of these names in the innermost block is in the stack."""
+        n = len(stack)
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                n = i
+            elif stack[i][0] in BLOCKS:
+                break
+        return n
+
     at, end = 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
@@ -125,7 +142,9 @@ def lines_of(page: str) -> list[Line]:
             continue
         name = name.lower()
         if closing:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if loose and name in BLOCKS:
+                close(within(("<a",)))
+            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or name == "a" and stack[i][0] == "<a"), None)
             if where is not None:
                 close(where)
             if name in BLOCKS or name == "head":
@@ -140,13 +159,22 @@ def lines_of(page: str) -> list[Line]:
             close(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
         if name in ("br", "td", "th"):
             line.parts.append(" ")
+        if name == "a":
+            close(within(("a", "<a")))
+        elif loose and (name in BLOCKS or name in ("td", "th")):
+            close(within(("<a",)))
         if name in VOID:
             if name == "hr":
                 fresh()
             continue
         if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
             close(len(stack) - 1)
-        marked, main = _marked(attributes) if attributes else (False, False)
+        marked, main, place = _marked(attributes) if attributes else (False, False, False)
+        anchor = name == "a" and not place
+        if name == "a":
+            over = _NEXT_A.search(page, at)
+            if over is None or not over.group(1):
+                name = "<a"
         art = name in ARTICLE or main
         out = (name in OUTSIDE or marked) and name not in ("html", "body") and not (art and not marked)
         if out and article and name == "header":
@@ -157,8 +185,8 @@ def lines_of(page: str) -> list[Line]:
             continue
         art = art and not outside and not out
         rest = line if out and name not in BLOCKS and name != "head" else None
-        stack.append((name, out, art, name == "a", rest))
-        outside, article, link = outside + out, article + art, link + (name == "a")
+        stack.append((name, out, art, anchor, rest))
+        outside, article, link, loose = outside + out, article + art, link + anchor, loose + (name == "<a")
         if rest is not None:
             line = Line(True, article > 0)
         elif name in BLOCKS or art:
@@ -174,11 +202,12 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by an empty line."""
     kept = [(" ".join("".join(x.parts).split()), x) for x in lines_of(page or "")]
     kept = [(t, x) for t, x in kept if t]
-    named = any(x.article and not x.outside for _, x in kept)
-    length = [0 if x.outside or named and not x.article else x.length for _, x in kept]
+    if any(x.article and not x.outside for _, x in kept):
+        return "\n\n".join(t for t, x in kept if x.article and not x.outside)
+    length = [0 if x.outside else x.length for _, x in kept]
     n = len(kept)
     sums = [sum(length[i : i + WINDOW]) for i in range(n)]
-    threshold = 0 if named else min(THRESHOLD, max(sums, default=0) // 2)
+    threshold = min(THRESHOLD, max(sums, default=0) // 2)
     chosen, i = [], 0
     while i < n:
         # a surge: over the threshold at a line of text
@@ -191,7 +220,7 @@ def main_text(page: str | None) -> str:
         # the dive: the last line of text before the sums fall to 0
         while length[end - 1] == 0:
             end -= 1
-        chosen += [t for t, x in kept[i:end] if not x.outside and (x.article or not named)]
+        chosen += [t for t, x in kept[i:end] if not x.outside]
         i = end
     return "\n\n".join(chosen)
 

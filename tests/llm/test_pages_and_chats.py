@@ -43,6 +43,24 @@ def test_outside_parts_within_a_line(page, want):
     assert main_text(page) == want
 
 
+LONG = ("long text " * 20).strip()
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><h1><a href=/x>Title</a></h1><p>text</p><ul><li><a href=1>r1</a><li><a href=2>r2</a><li><a href=3>r3</a></ul><p>more</p><p><a href=y>end</a></p></article>", "Title\n\ntext\n\nr1\n\nr2\n\nr3\n\nmore\n\nend"),
+    ("<main><p><a href=x>all linked</a></p></main>", "all linked"),
+    (f"<body><a name=top><p>{LONG}</p><p>short</p></body>", f"{LONG}\n\nshort"),
+    (f"<body><a name=top>{LONG}</body>", LONG),
+    (f"<table><tr><td><a href=1>cell<td>{LONG}</table>", f"cell {LONG}"),
+    (f"<div><a href=/>home<p>{LONG}</p><p><a href=1>one<a href=2>two</a> {LONG}</p></div>", f"{LONG}\n\nonetwo {LONG}"),
+    (f"<div><p><a href=1>one</p><p>{LONG}</p></div>", LONG),
+    ("<a href=1><div>a card of a menu</div></a>" * 6 + f"<div><p>{LONG}</p></div>", LONG),
+    (f"<div><p>{LONG}</p><p><a class=share href=1>no<a class=share href=2>no</a> yes</p><p>so</p></div>", f"{LONG}\n\nyes\n\nso"),
+])
+def test_links(page, want):
+    assert main_text(page) == want
+
+
 def test_surge_and_dive():
     """Far text of some length is kept, a far short line between menus is not."""
     links = "<ul>" + "<li><a>menu</a></li>" * 8 + "</ul>"
