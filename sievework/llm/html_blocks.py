@@ -5,7 +5,8 @@ their name, role or class (menus, headers, footers, sidebars, notices, adverts,
 go. Where a page names its article or main part, all its other lines are kept. Elsewhere a line's length
 is its text outside links. Sums over windows of WINDOW lines show where text begins (a surge: the sum
 exceeds a threshold, with text in the lines behind) and ends (a dive: the sum falls to 0); the text
-between, links included, is kept.
+between, links included, is kept, and so are the lines before a surge up to a gap of WINDOW lines without
+text. Outside lines are no gap between lines of one container.
 
 A link is an <a>, but for one with a name or id and no href, which is a place to link to. One that the next <a> or the end of the page finds open ends there or where a block
 begins or ends, whichever is first.
@@ -23,6 +24,7 @@ pass through, but `main_text` and `n_chars` are replaced.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -49,6 +51,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ARTICLE = {"article", "main"}
 READ = {"class", "id", "role", "hidden", "aria-hidden"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARAGRAPHS = HEADINGS | {"p", "pre", "blockquote", "li", "dt", "dd", "figcaption", "address", "summary"}
+WHOLE = {"html", "body"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NEXT_A = re.compile(r"<(/?)a(?=[\s/>])", re.I)
@@ -58,12 +62,12 @@ _WITH = re.compile(r"^(?:has|with|no|without)[-_]", re.I)
 
 
 class Line:
-    """A block's text, how much of it is outside links, and where it stands."""
+    """A block's text, how much of it is outside links, where it stands, and the containers it is in."""
 
-    __slots__ = ("article", "length", "outside", "parts")
+    __slots__ = ("article", "homes", "length", "outside", "parts")
 
-    def __init__(self, outside: bool, article: bool):
-        self.parts, self.length, self.outside, self.article = [], 0, outside, article
+    def __init__(self, outside: bool, article: bool, homes: tuple[int, ...] = ()):
+        self.parts, self.length, self.outside, self.article, self.homes = [], 0, outside, article, homes
 
 
 def _marked(attributes: str) -> tuple[bool, bool, bool]:
@@ -88,17 +92,30 @@ def lines_of(page: str) -> list[Line]:
     """Strips the markup of a page into lines."""
     lines: list[Line] = []
     # open elements: (name, is it the start of an outside part, of the article, is it a link, the line that
-    # goes on behind it, if it is an outside part within a line)
-    stack: list[tuple[str, bool, bool, bool, Line | None]] = []
+    # goes on behind it, if it is an outside part within a line, its number)
+    stack: list[tuple[str, bool, bool, bool, Line | None, int]] = []
     # loose is the number of open elements <a> without an end before the next <a>; they have the name "<a"
     outside = article = link = loose = 0
-    line = Line(False, False)
+    line, count = Line(False, False, (0,)), 0
 
     def fresh() -> None:
         nonlocal line
         if line.parts:
             lines.append(line)
-        line = Line(outside > 0, article > 0)
+        line = Line(outside > 0, article > 0, homes())
+
+    def homes() -> tuple[int, ...]:
+        """The block and the one around it, unless that is the whole page and the block no paragraph."""
+        found: list[int] = []
+        for name, *_, number in reversed(stack):
+            if name in BLOCKS:
+                if found and name in WHOLE and not paragraph:
+                    return tuple(found)
+                found.append(number)
+                if len(found) == 2:
+                    return tuple(found)
+                paragraph = name in PARAGRAPHS
+        return (*found, 0) if not found or paragraph else tuple(found)
 
     def text(piece: str) -> None:
         piece = html.unescape(piece)
@@ -110,7 +127,7 @@ def lines_of(page: str) -> list[Line]:
     def close(n: int) -> None:
         nonlocal outside, article, link, line, loose
         while len(stack) > n:
-            name, out, art, anchor, rest = stack.pop()
+            name, out, art, anchor, rest, _ = stack.pop()
             outside, article, link, loose = outside - out, article - art, link - anchor, loose - (name == "<a")
             if rest is not None:
                 fresh()
@@ -141,6 +158,7 @@ def lines_of(page: str) -> list[Line]:
         if name is None:
             continue
         name = name.lower()
+        count += 1
         if closing:
             if loose and name in BLOCKS:
                 close(within(("<a",)))
@@ -180,12 +198,12 @@ def lines_of(page: str) -> list[Line]:
         if out and article and name == "header":
             out = False
             # a header inside the article keeps its headings only
-            stack.append(("header", False, False, False, None))
+            stack.append(("header", False, False, False, None, count))
             fresh()
             continue
         art = art and not outside and not out
         rest = line if out and name not in BLOCKS and name != "head" else None
-        stack.append((name, out, art, anchor, rest))
+        stack.append((name, out, art, anchor, rest, count))
         outside, article, link, loose = outside + out, article + art, link + anchor, loose + (name == "<a")
         if rest is not None:
             line = Line(True, article > 0)
@@ -204,24 +222,36 @@ def main_text(page: str | None) -> str:
     kept = [(t, x) for t, x in kept if t]
     if any(x.article and not x.outside for _, x in kept):
         return "\n\n".join(t for t, x in kept if x.article and not x.outside)
+    # outside lines between lines that share a container are no gap
+    inner = [i for i, (_, x) in enumerate(kept) if not x.outside]
+    drop: set[int] = set()
+    for a, b in itertools.pairwise(inner):
+        if b > a + 1 and not set(kept[a][1].homes).isdisjoint(kept[b][1].homes):
+            drop.update(range(a + 1, b))
+    kept = [x for i, x in enumerate(kept) if i not in drop]
     length = [0 if x.outside else x.length for _, x in kept]
     n = len(kept)
     sums = [sum(length[i : i + WINDOW]) for i in range(n)]
     threshold = min(THRESHOLD, max(sums, default=0) // 2)
-    chosen, i = [], 0
+    chosen, i, last = [], 0, 0
     while i < n:
         # a surge: over the threshold at a line of text
         if sums[i] <= threshold or length[i] == 0:
             i += 1
             continue
-        end = i
+        end = start = i
+        # the lines before it that are no gap
+        while start > last and sums[start - 1] > 0:
+            start -= 1
+        while length[start] == 0:
+            start += 1
         while end < n and sums[end] > 0:
             end += 1
         # the dive: the last line of text before the sums fall to 0
         while length[end - 1] == 0:
             end -= 1
-        chosen += [t for t, x in kept[i:end] if not x.outside]
-        i = end
+        chosen += [t for t, x in kept[start:end] if not x.outside]
+        i = last = end
     return "\n\n".join(chosen)
 
 

@@ -61,6 +61,23 @@ def test_links(page, want):
     assert main_text(page) == want
 
 
+MENU = "<nav>" + "<div>menu</div>" * 5 + "</nav>"
+ADVERT = "<div class=ad>" + "<p>buy now</p>" * 4 + "</div>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div><h1>Short title</h1><p>By Jane</p><p>12 May</p><p>{LONG}</p></div>", f"Short title\n\nBy Jane\n\n12 May\n\n{LONG}"),
+    (f"<body><div>tagline</div>{MENU}<div><h1>Short</h1><p>By Jane</p><p>12 May</p><p>1 min</p><p>{LONG}</p></div></body>", f"Short\n\nBy Jane\n\n12 May\n\n1 min\n\n{LONG}"),
+    (f"<body><div><p>{LONG}</p>{ADVERT}<p>The end.</p></div>{MENU}<div>imprint</div></body>", f"{LONG}\n\nThe end."),
+    (f"<body><h1>Short</h1>{ADVERT}<p>{LONG}</p><form>{'<p>mail</p>' * 4}</form><p>The end.</p></body>", f"Short\n\n{LONG}\n\nThe end."),
+    (f"<h1>Short</h1>{ADVERT}<p>{LONG}</p>{ADVERT}<p>The end.</p>", f"Short\n\n{LONG}\n\nThe end."),
+    (f"<body><div>{LONG}{ADVERT}and on</div>{MENU}<div>imprint</div></body>", f"{LONG}\n\nand on"),
+    (f"<div id=c><div>{LONG}</div>{ADVERT}<div>last</div></div>", f"{LONG}\n\nlast"),
+])
+def test_short_lines_around_a_surge(page, want):
+    assert main_text(page) == want
+
+
 def test_surge_and_dive():
     """Far text of some length is kept, a far short line between menus is not."""
     links = "<ul>" + "<li><a>menu</a></li>" * 8 + "</ul>"
