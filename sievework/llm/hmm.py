@@ -1,20 +1,23 @@
 """Operator 8, hidden Markov language model over words.
 
 Hidden states emit word classes, and a class emits its words: P(word | state) = P(class | state) *
-P(word | class). The OWN most frequent words are classes of their own; other words, known or not,
-belong to one of ENDINGS classes by their last two bytes, within which P(word | class) =
-(c + 1) / (tokens + words + 1), so that one share is left for each class's unknown words and all
-probabilities add up to one. The end of a text is a token and a class. So the matrices of the model
-have a fixed size, while the counts behind P(word | class) grow with the corpus and stay distributed.
+P(word | state, class). The OWN most frequent words are classes of their own; other words, known or not,
+belong to one of ENDINGS classes by their last two bytes. With g the expected count of a state and word
+and q the state's share of the class's tokens, P(word | state, class) = (g / q + 1) / (tokens + words + 1),
+so that one share is left for each class's unknown words and all probabilities of a state add up to one.
+The end of a text is a token and a class. So the matrices of classes have a fixed size, while the
+expected counts of states and words grow with the corpus and stay distributed.
 
 Training is Baum-Welch over all training texts: each partition runs the scaled forward and backward
 recursions over stretches of STRETCH tokens and adds up expected counts; the counts are summed over
-partitions by an aggregate, and only the summed matrices reach the driver. Scoring runs the scaled
-forward recursion over the whole text, which gives its exact likelihood.
+partitions by an aggregate, and only the summed matrices reach the driver. The rounds begin with words
+that are spread over their class alike in all states; after them one more pass counts states and words.
+Scoring runs the scaled forward recursion over the whole text, which gives its exact likelihood.
 
 Scale: word counts are pre-aggregated in batches. The HOT most frequent words are looked up on the
 executors (a table of fixed size); the others go through an equi-join, a row a text and word. Texts
-are read twice and coded once; training and scoring read the codes (two bytes a token).
+are read twice and coded once; training and scoring read the codes (two bytes a token, and four more
+where the last pass and scoring need the word within its class).
 
 Defined results: null and empty texts are the end token alone; a null doc_id hashes as the empty text
 (0, so it is trained on); without training texts all words are unknown and the matrices stay at their
@@ -86,18 +89,20 @@ class Lookup:
         self.share = -np.log10(tokens + words + 1.0)
 
     def code(self, words: Words) -> tuple[np.ndarray, ...]:
-        """(class, log10(c + 1) or nan where not hot, log10 P(word | class) without the nan part)."""
+        """(hash, class, place in the hot table or -1, log10(c + 1) or nan where not hot, log10 of the class's
+        share of a token without the nan part)."""
         h, e = signed(words.hashes(lower=True)), _endings(words, _lower(words.raw))
         if len(self.h):
             at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
             hot = self.h[at] == h
             own = np.where(hot, self.own[at], -1)
             log = np.where(hot, np.log10(self.c[at] + 1.0), np.nan)
+            at = np.where(hot, at, -1)
         else:
-            own, log = np.full(len(h), -1), np.full(len(h), np.nan)
+            own, at, log = np.full(len(h), -1), np.full(len(h), -1), np.full(len(h), np.nan)
         cls = np.where(own >= 0, own + 1, e + 1 + OWN)
         inside = np.where(own >= 0, 0.0, self.share[e] + np.nan_to_num(log))
-        return h, cls.astype(np.uint16), log, inside
+        return h, cls.astype(np.uint16), at, log, inside
 
 
 def _coder(lookup):
@@ -108,21 +113,24 @@ def _coder(lookup):
             ids, held = batch.column("doc_id"), batch.column("held_out")
             for i, j in slices(offs):
                 words = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                h, cls, log, inside = table.code(words)
+                h, cls, at, log, inside = table.code(words)
                 hot = ~np.isnan(log)
                 sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[words.first])  # noqa: E731, B023
-                seqs, rare, times = [], [], []
+                seqs, inner, rare, times = [], [], [], []
                 for r in range(j - i):
                     a, b = words.first[r], words.first[r + 1]
                     seqs.append(cls[a:b].tobytes() + b"\0\0")
-                    x, n = np.unique(h[a:b][~hot[a:b]], return_counts=True)
+                    x, place, n = np.unique(h[a:b][~hot[a:b]], return_inverse=True, return_counts=True)
+                    code = at[a:b].copy()
+                    code[code < 0] = HOT + place
+                    inner.append(code[cls[a:b] > OWN].astype(np.uint32).tobytes())
                     rare.append(x)
                     times.append(n)
                 lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32()), pa.array(np.concatenate(parts), kind))
                 yield pa.record_batch([
                     ids.slice(i, j - i), held.slice(i, j - i), pa.array(words.counts + 1, pa.int64()), pa.array(np.round(sums(hot)).astype(np.int64)),
-                    pa.array(sums(np.where(hot, log, 0.0))), pa.array(sums(inside)), pa.array(seqs, pa.binary()), lists(rare, pa.int64()), lists(times, pa.int32()),
-                ], ["doc_id", "held_out", "n_tokens", "known", "base", "inside", "seq", "rare", "times"])
+                    pa.array(sums(np.where(hot, log, 0.0))), pa.array(sums(inside)), pa.array(seqs, pa.binary()), pa.array(inner, pa.binary()), lists(rare, pa.int64()), lists(times, pa.int32()),
+                ], ["doc_id", "held_out", "n_tokens", "known", "base", "inside", "seq", "inner", "rare", "times"])
 
     return run
 
@@ -148,8 +156,9 @@ def stretches(seqs: list[np.ndarray], most: int = STRETCH) -> tuple[np.ndarray,
     return first[order], size[order]
 
 
-def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of stretches (longest first): initial, transition, emission, log10 likelihood."""
+def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model, states: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of stretches (longest first): initial, transition, emission, log10 likelihood.
+    states, one row a token, takes the chances of each token's states."""
     pi, trans, emit = model
     k, by_class = len(pi), np.ascontiguousarray(emit.T)
     steps = int(size[0]) if len(size) else 0
@@ -172,6 +181,8 @@ def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model) -> tupl
         if len(beta) < n:  # stretches that end here
             beta = np.concatenate([beta, np.ones((n - len(beta), k))])
         gamma = alpha[t] * beta
+        if states is not None:
+            states[first[:n] + t] = gamma
         for s in range(k):
             counts_emit[s] += np.bincount(seen[t], gamma[:, s], emit.shape[1])
         if t == 0:
@@ -183,8 +194,9 @@ def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model) -> tupl
     return counts_pi, counts_trans, counts_emit, total
 
 
-def forward(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model) -> np.ndarray:
-    """log10 likelihood of each sequence (longest first) by the scaled forward recursion."""
+def forward(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model, ratio: np.ndarray | None = None) -> np.ndarray:
+    """log10 likelihood of each sequence (longest first) by the scaled forward recursion. ratio, one row a
+    token, multiplies the emissions of the token's class."""
     pi, trans, emit = model
     by_class = np.ascontiguousarray(emit.T)
     out, a = np.zeros(len(size)), np.broadcast_to(pi, (len(size), len(pi)))
@@ -192,7 +204,8 @@ def forward(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model) -> np.
     alive = np.searchsorted(-size, -np.arange(steps), "left")
     for t in range(steps):
         n = alive[t]
-        a = (a if t == 0 else a[:n] @ trans) * by_class[flat[first[:n] + t]]
+        at = first[:n] + t
+        a = (a if t == 0 else a[:n] @ trans) * (by_class[flat[at]] if ratio is None else by_class[flat[at]] * ratio[at])
         c = a.sum(1)
         out[:n] += np.log10(c)
         a = a / c[:, None]
@@ -220,16 +233,61 @@ def _trainer(model):
     return run
 
 
-def _scorer(model):
+def _inner(batch: pa.RecordBatch, i: int, j: int, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the tokens of rows i to j in classes of several words: (place in flat, code, place of the row's
+    word in the rows' lists of rare words)."""
+    code = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("inner").slice(i, j - i)]).astype(np.int64)
+    at = np.flatnonzero(flat > OWN)
+    n = batch.column("rare").slice(i, j - i).value_lengths().to_numpy()
+    return at, code, (np.cumsum(n) - n)[np.repeat(np.arange(j - i), size)[at]] + code - HOT
+
+
+def _state_words(model, hot):
+    """(word, ending class, count, expected counts of the states) of a batch of training texts, for words
+    in classes of several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, table = len(model.value[0]), hot.value.h
+        for batch in batches:
+            for i, j, seqs in _sequences(batch):
+                flat = np.concatenate(seqs)
+                states = np.zeros((len(flat), k))
+                expect(flat, *stretches(seqs), model.value, states)
+                at, code, listed = _inner(batch, i, j, flat, np.array([len(s) for s in seqs]))
+                rare, h = batch.column("rare").slice(i, j - i).flatten().to_numpy(), np.zeros(len(at), np.int64)
+                known = code < HOT
+                h[known], h[~known] = table[code[known]], rare[listed[~known]]
+                h, head, word, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                sums = [pa.array(np.bincount(word, states[at, x], len(h)), pa.float32()) for x in range(k)]
+                yield pa.record_batch([pa.array(h), pa.array(flat[at][head].astype(np.int32) - 1 - OWN), pa.array(n, pa.int64()), *sums], ["h", "e", "n", *(f"g{x}" for x in range(k))])
+
+    return run
+
+
+def _scorer(model, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(model.value[0])
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for i, j, seqs in _sequences(batch):
-                size = np.array([len(s) for s in seqs])
+                flat, size = np.concatenate(seqs), np.array([len(s) for s in seqs])
                 order = np.argsort(-size, kind="stable")
                 first = np.cumsum(size) - size
-                score[i + order] = forward(np.concatenate(seqs), first[order], size[order], model.value)
-            yield batch.drop_columns(["seq"]).append_column("forward", pa.array(score))
+                rare, found = batch.column("rare").slice(i, j - i), batch.column("found").slice(i, j - i)
+                words, known = rare.flatten().to_numpy(), found.flatten()
+                own = np.ones((len(words), k), np.float32)
+                if len(known):
+                    got = np.stack([known.field(f"r{x}").to_numpy() for x in range(k)], 1)
+                    hashes, a, b = known.field("h").to_numpy(), 0, 0
+                    for n, m in zip(rare.value_lengths().to_numpy(), found.value_lengths().fill_null(0).to_numpy(), strict=True):
+                        own[a + np.searchsorted(words[a : a + n], hashes[b : b + m])] = got[b : b + m]
+                        a, b = a + n, b + m
+                at, code, listed = _inner(batch, i, j, flat, size)
+                frequent = code < HOT
+                ratio = np.ones((len(flat), k), np.float32)
+                ratio[at[frequent]], ratio[at[~frequent]] = hot.value[code[frequent]], own[listed[~frequent]]
+                score[i + order] = forward(flat, first[order], size[order], model.value, ratio)
+            yield batch.drop_columns(["seq", "inner", "rare", "found"]).append_column("forward", pa.array(score))
 
     return run
 
@@ -265,17 +323,36 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFr
     hot = words.orderBy(F.desc("c"), "h").limit(HOT).toArrow()
     sizes = [tuple(r) for r in words.groupBy("e").agg(F.sum("c"), F.count("*")).collect()]
     lookup = Lookup(hot, sizes, total, distinct)
-    codes = docs.mapInArrow(tidy(_coder(spark.sparkContext.broadcast(lookup))), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, seq binary, rare array<bigint>, times array<int>")
+    shared = spark.sparkContext.broadcast(lookup)
+    codes = docs.mapInArrow(tidy(_coder(shared)), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, seq binary, inner binary, rare array<bigint>, times array<int>")
     codes = materialise(codes.withColumn("uid", F.monotonically_increasing_id()), "codes")
     unigram = np.zeros(CLASSES)
     unigram[0] = ends
     unigram[1 + lookup.own[lookup.own >= 0]] = lookup.c[lookup.own >= 0]
     unigram[1 + OWN :] = np.maximum(10**-lookup.share - 1, 0)
     model, _ = train(codes.where("NOT held_out"), (unigram + 1) / (unigram + 1).sum(), rounds, states)
-    scored = codes.drop("rare", "times").mapInArrow(tidy(_scorer(spark.sparkContext.broadcast(model))), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, uid bigint, forward double")
+    model = spark.sparkContext.broadcast(model)
+    gs = [f"g{x}" for x in range(states)]
+    states_of = codes.where("NOT held_out").select("seq", "inner", "rare").mapInArrow(tidy(_state_words(model, shared)), "h bigint, e int, n bigint, " + ", ".join(f"{g} float" for g in gs))
+    states_of = materialise(states_of.groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("c"), *[F.sum(g).alias(g) for g in gs]), "states")
+    # q: the states' shares of each class's tokens
+    q = np.ones((ENDINGS, states)) / states
+    for e, *g in states_of.groupBy("e").agg(*[F.sum(g) for g in gs]).collect():
+        q[e] = np.maximum(g, 1e-9) / np.maximum(g, 1e-9).sum()
+    shares = spark.createDataFrame([(e, *map(float, x)) for e, x in enumerate(q)], "e int, " + ", ".join(f"q{x} double" for x in range(states)))
+    # P(word | state, class) over P(word | class)
+    ratios = states_of.join(F.broadcast(shares), "e").select("h", "c", *[((F.col(f"g{x}") / F.col(f"q{x}") + 1) / (F.col("c") + 1)).cast("float").alias(f"r{x}") for x in range(states)])
+    frequent = np.ones((max(len(lookup.h), 1), states), np.float32)
+    if len(lookup.h):
+        table = ratios.where(F.col("c") >= int(lookup.c.min())).orderBy(F.desc("c"), "h").limit(HOT).toArrow()
+        at = np.minimum(np.searchsorted(lookup.h, table["h"].to_numpy()), len(lookup.h) - 1)
+        same = lookup.h[at] == table["h"].to_numpy()
+        frequent[at[same]] = np.stack([table[f"r{x}"].to_numpy() for x in range(states)], 1)[same]
     rare = codes.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    rare = rare.join(words.select("h", "c"), "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"))
-    out = scored.join(rare, "uid", "left").withColumns({"more": F.coalesce("more", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})
+    found = F.collect_list(F.struct("h", *[f"r{x}" for x in range(states)])).alias("found")
+    rare = rare.join(ratios, "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), found)
+    both = codes.drop("times").join(rare, "uid", "left").select("doc_id", "held_out", "n_tokens", "known", "base", "inside", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("logs", F.lit(0.0)).alias("logs"), "seq", "inner", "rare", "found")
+    out = both.mapInArrow(tidy(_scorer(model, spark.sparkContext.broadcast(frequent))), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, more bigint, logs double, forward double")
     end_log, denominator = float(np.log10(ends + 1.0)), float(np.log10(total + distinct + 1.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),

@@ -352,6 +352,33 @@ def test_language_model(frame, clashing):
     assert [r.n_known for r in only] == [0, 0] and all(math.isfinite(r.score) for r in only)
 
 
+@pytest.mark.parametrize("fillers", [2_100, 131_200])
+def test_states_tell_words_of_a_class_apart(frame, fillers):
+    """Of two texts of equal classes and counts, the one whose rare words go with its frequent ones is likelier;
+    the rare words are within the hot table or, with many fillers, beyond it."""
+    r = random.Random(15)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    ids = (i for i in range(10**6) if not held(i))
+    rows = []
+    for a in range(0, fillers, 500):
+        for _ in range(3):
+            mixed = [f"f{x}xy" for x in range(a, min(a + 500, fillers))] + [f"{'ab'[a // 500 % 2]}{r.randrange(9)}" for _ in range(500)]
+            r.shuffle(mixed)
+            rows.append((next(ids), " ".join(mixed)))
+    for topic in "ab":
+        for i in range(300):
+            own = [f"{topic}{r.randrange(9)}" for _ in range(60)]
+            for k in (10, 30, 50):
+                own[k] = f"r{topic}{(3 * i + k // 20) % 450}zz"
+            rows.append((next(ids), " ".join(own)))
+    assert max(collections.Counter(w for _, t in rows for w in t.split() if w.endswith("zz")).values()) == 2
+    first, second = [i for i in range(100) if held(i)][:2]
+    text = "a1 a2 a3 r{0}0zz a4 a5 r{0}7zz a6 a7 r{0}9zz a8 a1"
+    got = {x.doc_id: x for x in hmm.score(frame([*rows, (first, text.format("a")), (second, text.format("b"))])).where("held_out").collect()}
+    assert got[first].base_score == pytest.approx(got[second].base_score)
+    assert got[first].score > got[second].score + 0.1
+
+
 def test_word_probabilities_add_up():
     """Over all words of a class, known and unknown, shares add up to one."""
     import pyarrow as pa
