@@ -80,33 +80,96 @@ def test_pipeline_rejects_symbol_junk(spark, frame):
 # 10
 
 
-def test_mixing_fills_targets(frame, clashing):
-    rows = corpus(3, 120) + ODD
-    out = mixing.mix(frame(rows, **clashing), block_words=64)
-    first, again = rows_of(out, "doc_id", "source", "size", "source_size", "target", "taken"), rows_of(mixing.mix(frame(rows).repartition(3), block_words=64), "doc_id", "source", "size", "source_size", "target", "taken")
-    assert sorted(first, key=str) == sorted(again, key=str)
-    # the grain of the schedule doesn't change what is taken
-    assert sorted(first, key=str) == sorted(rows_of(mixing.mix(frame(rows), block_words=7), "doc_id", "source", "size", "source_size", "target", "taken"), key=str)
-    sizes = collections.Counter()
-    for _, t, s in rows:
-        sizes[s] += len(words(t))
+MIXED = ("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+
+
+def water(sizes, share=1.5, most=2):
+    """The sources in order, and their targets."""
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    budget, stopped = 1.5 * sum(sizes.values()), set()
+    budget, stopped = share * sum(sizes.values()), set()
     while True:
-        level = (budget - sum(2 * sizes[s] for s in stopped)) / sum(weight[s] for s in order if s not in stopped)
-        more = {s for s in order if s not in stopped and 2 * sizes[s] < level * weight[s]}
+        level = (budget - sum(most * sizes[s] for s in stopped)) / max(1, sum(weight[s] for s in order if s not in stopped))
+        more = {s for s in order if s not in stopped and most * sizes[s] < level * weight[s]}
         if not more:
-            break
+            return order, {s: min(most * sizes[s], level * weight[s]) for s in order}
         stopped |= more
+
+
+def brute_mix(rows, block=None):
+    """Word by word: slots walk round the sources' streams."""
+    sizes, stream = collections.Counter(), collections.defaultdict(list)
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    order, target = water(sizes)
+    key = lambda i, t: hashlib.md5(f"{'' if i is None else i}/{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
+    for i, t, s in sorted(rows, key=lambda r: key(r[0], r[1])):
+        stream[s] += [(key(i, t), len(stream[s]), k) for k in range(len(words(t)))]
+    t = {s: min(math.floor(target[s] + 0.5), 2 * sizes[s]) for s in order}
+    b = block or min(max(sum(t.values()) // mixing.MANY, 1), mixing.BLOCK_WORDS)
+    few = {s: t[s] < b * mixing.FEW for s in order}
+    slots = {s: 0 if not t[s] else mixing.FEW if few[s] else (t[s] + b // 2) // b for s in order}
+    total, taken, rank = sum(slots.values()), collections.Counter(), collections.Counter()
+    edges, upto = [], 0
+    for s in order:
+        edges.append((upto / total if total else 0, (upto + slots[s]) / total if total else 0, s))
+        upto += slots[s]
+    for i in range(total):
+        u = (i + 1) * mixing.GOLDEN
+        u -= math.floor(u)
+        s = next(s for lo, hi, s in edges if lo <= u < hi)
+        num, den = (t[s], mixing.FEW) if few[s] else (b, 1)
+        for x in range(rank[s] * num // den, min((rank[s] + 1) * num // den, 2 * sizes[s])):
+            taken[stream[s][x % sizes[s]][0]] += 1
+        rank[s] += 1
+    return {(key(i, t), s): taken[key(i, t)] for i, t, s in rows}, key
+
+
+@pytest.mark.parametrize("block", [None, 7, 64])
+def test_mixing_follows_the_schedule(frame, clashing, block, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 40)
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    rows = corpus(3, 120) + ODD + [(77, "again and again", "s0")] * 8
+    first = rows_of(mixing.mix(frame(rows, **clashing), block), *MIXED)
+    assert sorted(first, key=str) == sorted(rows_of(mixing.mix(frame(rows).repartition(3), block), *MIXED), key=str)
+    assert len(first) == len(rows)
+    taken = collections.Counter()
+    for doc_id, source, _, _, _, got, slot in first:
+        taken[doc_id, source] += got
+        assert (slot is None) == (got == 0)
+    want, key = brute_mix(rows, block)
+    by_id = collections.Counter()
+    for (i, t, s) in {(i, t, s) for i, t, s in rows}:
+        by_id[i, s] += want[key(i, t), s]
+    assert taken == by_id
+    spans = mixing.mixture(frame(rows), block).collect()
+    assert sum(x.words for x in spans) == sum(taken.values()) and all(x.first >= 0 for x in spans)
+    # slots take about equal blocks, in the order of their source's stream
+    for s in {x.source for x in spans}:
+        own = sorted((x.slot, x.block) for x in spans if x.source == s)
+        assert [b for _, b in own] == sorted(b for _, b in own)
+
+
+def test_mixing_fills_targets(frame, monkeypatch):
+    rows = corpus(3, 120) + ODD
+    first = rows_of(mixing.mix(frame(rows)), *MIXED)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    order, target = water(sizes)
     taken = collections.Counter()
-    for _, s, size, source_size, target, got in first:
-        assert source_size == sizes[s] and 0 <= got <= 2 * size
-        assert target == pytest.approx(min(2 * sizes[s], level * weight[s]))
+    for _, s, size, source_size, goal, got, _ in first:
+        assert source_size == sizes[s] and 0 <= got <= 2 * size and goal == pytest.approx(target[s])
         taken[s] += got
     for s in order:
-        assert abs(taken[s] - min(2 * sizes[s], level * weight[s])) <= 1
-    assert mixing.mix(frame([])).count() == 0 and [r[5] for r in rows_of(mixing.mix(frame([(1, None)])), "doc_id", "source", "size", "source_size", "target", "taken")] == [0]
+        assert abs(taken[s] - target[s]) <= 1 + 0.005 * target[s]
+    assert mixing.mix(frame([])).count() == 0 and [r[5] for r in rows_of(mixing.mix(frame([(1, None)])), *MIXED)] == [0]
+    # the sequence decides: without it all slots fall to one source
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0)
+    other = collections.Counter()
+    for _, s, _, _, _, got, _ in rows_of(mixing.mix(frame(rows)), *MIXED):
+        other[s] += got
+    assert [s for s in order if other[s]] == order[:1]
 
 
 # 5
