@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
 STAGES = [
