@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,77 @@ def test_short_lines_around_a_surge(page, want):
     assert main_text(page) == want
 
 
+PARTS = [("first words of a paragraph " * 12).strip(), ("second one with words " * 14).strip(), ("third paragraph words " * 13).strip()]
+BODY, ARTICLE = "".join(f"<p>{x}</p>" for x in PARTS), "\n\n".join(PARTS)
+
+
+@pytest.mark.parametrize("name", ["layout-with-sidebar", "page-with-header", "content sidebar-right", "post share-enabled", "entry-content related",
+                                  "search-results", "article-header", "ad-free", "notice-board", "widget-area"])
+def test_a_marked_wrapper_is_no_part_of_the_page(name):
+    assert main_text(f"<body><nav><a href=/>home</a></nav><div class='{name}'>{BODY}</div><footer>copyright</footer></body>") == ARTICLE
+    assert main_text(f"<body><div class='{name}'><nav>menu</nav><article>{BODY}</article></div></body>") == ARTICLE
+    assert main_text(f"<main class='{name}'>{BODY}</main>") == ARTICLE
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<table><tr><td class=sidebar>x<td>{BODY}</table>", ARTICLE), (f"<p class=ad>ad<div>{BODY}</div>", ARTICLE), (f"<form>{BODY}<input></form>", ARTICLE),
+    (f"<form id=f><div class=header>h</div>{BODY}<div class=footer>f</div></form>", ARTICLE), (f"<ul><li class=ad>ad<li>{BODY}</ul>", ARTICLE), (f"<dl><dt class=ad>x<dd>{BODY}</dl>", ARTICLE),
+    (f"<div class=page-with-header><div class='content sidebar-right'>{BODY}<div class=sidebar>{BODY}</div></div><div id=comments>{BODY}</div></div>", ARTICLE),
+    (f"<article><div class=content-with-sidebar>{BODY}</div></article>", ARTICLE),
+    # what stays outside however much of the page it is
+    (f"<article><p>a</p></article><div class=reader-comments>{BODY}</div>", "a"), (f"<article><p>a</p></article><div class=cookie-notice>{BODY}</div>", "a"), (f"<nav>{BODY}</nav>", ""),
+    (f"<div class=footer>{BODY}</div>", ""), (f"<div><p>short article</p></div><div class=comment-list>{BODY}</div>", "short article"), (f"<article><p>a</p></article><form>{BODY}</form>", "a\n\n" + ARTICLE),
+])
+def test_marks_and_implied_ends(page, want):
+    assert main_text(page) == want
+
+
+def brute_runs(length, window, threshold):
+    """Line by line, as the method says it: a line's window is it and the window - 1 lines behind it."""
+    total = [sum(length[i : i + window]) for i in range(len(length))]
+    islands, i = [], 0
+    while i < len(length):  # stretches without a sum of 0, each from its first to its last line with text
+        if total[i] == 0:
+            i += 1
+            continue
+        j = i
+        while j < len(length) and total[j] > 0:
+            j += 1
+        some = [k for k in range(i, j) if length[k]]
+        if any(total[k] > threshold for k in some):
+            islands.append((some[0], some[-1] + 1))
+        i = j
+    return islands
+
+
+def test_windows_against_brute_force():
+    r = random.Random(17)
+    for _ in range(3000):
+        length = [r.choice([0, 0, 0, 5, 30, 90]) for _ in range(r.randint(0, 25))]
+        for window in (1, 2, 3, 5):
+            assert html_blocks.runs(length, window, 86) == brute_runs(length, window, 86)
+
+
+def test_the_window_decides(monkeypatch):
+    """Three lines together are a surge where one alone is none, on pages with and without a named article."""
+    lines = "".join(f"<p>{'x' * 40} {i}</p>" for i in range(3))
+    links = "<ul>" + "<li><a href=1>menu</a></li>" * 4 + "</ul>"
+    plain = f"<p>{'y' * 300}</p>{links}{lines}{links}"
+    named = f"<article><p>card</p></article><div>{''.join(f'<p>{i} ' + 'x' * 150 + '</p>' for i in range(3))}</div>"
+    wide = main_text(plain), main_text(named)
+    monkeypatch.setattr(html_blocks, "WINDOW", 1)
+    narrow = main_text(plain), main_text(named)
+    assert [x.count("x" * 40) for x in wide] == [3, 9] and [x.count("x" * 40) for x in narrow] == [0, 0]
+    assert "y" * 300 in narrow[0] and narrow[1] == "card"
+
+
+@pytest.mark.parametrize("piece", ["<b></i>", "<div>x", "<a href=x>", "<table><tr><td>", "<div class=ad-free>x", "<!x", "<a b='", "<span class=ad>x", "<header><article>"])
+def test_long_malformed_pages_take_time_in_proportion(piece):
+    began = time.process_time()
+    main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+
+
 def test_surge_and_dive():
     """Far text of some length is kept, a far short line between menus is not."""
     links = "<ul>" + "<li><a>menu</a></li>" * 8 + "</ul>"
