@@ -9,18 +9,24 @@ the time by which all registers are almost surely filled; texts with a register
 Registers are banded; texts that share a band are candidates. Candidates are verified exactly: links
 are pairs with similarity 0.8 or more. Within a bucket pairs with one member, the one that shares
 buckets with the most texts, are tested first. What is left are pairs of members of different
-components (no other pair can change a class); those are compared by sketches of FINE registers of
-four bits inside the join, and verified unless these are far apart. Components come from alternating
-star contractions of the links.
+components (no other pair can change a class). A bucket in which these are at most CROSS for each
+member is settled at once: its members outside its largest component (2 * CROSS at most) meet all
+others. They are compared by sketches of FINE registers of four bits inside the join, and verified
+unless these are far apart; with exact=True all are verified. The members of larger buckets are banded
+anew, with the next of LEVELS: longer bands part texts that only resemble one another, and more of
+them find a pair at 0.8 as surely as before. What the last level leaves large is compared in full, in
+parts of PART members. Components come from alternating star contractions of the links.
 
 Scale: exact copies meet in one node (the text's key), so their number costs a row each at the first
 and the last step only. Buckets are reduced by aggregates and equi-joins, never collected; signatures
-stay on the executors. With 32 bands of 5 rows a pair at 0.8 is missed once in 300,000.
+stay on the executors. Rows compared grow with members times CROSS, not with the square of a bucket.
+A pair at 0.8 is missed once in 300,000 by the bands of a level, and once in 3 million by the sketches.
 
 Defined results: null texts and texts without a word have no shingle and are a class of their own
 row; texts of one to four words are one shingle; copies, repeated rows and ties share the class of
-the smallest doc_id; the class of rows without any doc_id is null. Extra columns pass through, but
-`class_id` and `class_size` are replaced.
+the smallest doc_id; the class of rows without any doc_id is null. Of rows with equal doc_id and text
+keep_one keeps that whose other columns come first as JSON. Extra columns pass through, but `class_id`
+and `class_size` are replaced.
 """
 
 from __future__ import annotations
@@ -36,11 +42,15 @@ from ._text import U64, Words, buffers, keeps, materialise, mix, signed, slices,
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
+#: (bands, rows) of the levels: (1 - 0.8 ** rows) ** bands is 3e-6 for all.
+LEVELS = ((BANDS, ROWS), (184, 12), (1100, 20))
+#: Pairs across components that a bucket may have for each of its members, and members that one task compares.
+CROSS, PART = 256, 4096
 #: Registers of the fine sketch, four bits each, and in how many those of a pair to verify may differ:
-#: at a similarity of LEAST one differs with a chance of 0.2 * 15 / 16; the bound is 4 deviations above.
+#: at a similarity of LEAST one differs with a chance of 0.2 * 15 / 16; the bound is 5 deviations above.
 FINE = 1024
 _DIFFER = (1 - LEAST) * 15 / 16
-FINE_APART = int(FINE * _DIFFER + 4 * (FINE * _DIFFER * (1 - _DIFFER)) ** 0.5)
+FINE_APART = int(FINE * _DIFFER + 5 * (FINE * _DIFFER * (1 - _DIFFER)) ** 0.5)
 FINE_SCHEMA = "k bigint, " + ", ".join(f"f{i} bigint" for i in range(FINE // 16))
 _ID = U64((1 << 44) - 1)
 
@@ -108,28 +118,29 @@ def _at_once(m: int) -> int:
     return max(1, int(400_000 / (m * (np.log(m) + 4))))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(bands: int, rows: int):
     """For each distinct text of a batch: its key and its band keys."""
-    for batch in batches:
-        _, first = np.unique(batch.column("k").to_numpy(), return_index=True)
-        batch = batch.take(pa.array(first))
-        keys, (raw, offs) = batch.column("k").to_numpy(), buffers(batch.column("text"))
-        for i, j in slices(offs, rows=_at_once(BANDS * ROWS)):
-            words = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            row, h = shingles(words)
-            some = np.flatnonzero(words.counts > 0)
-            if not len(some):
-                continue
-            sig = signatures(row, h, j - i)[some]
-            bands = np.zeros((len(some), BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = mix(bands * U64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
-            bands = mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0xC2B2AE3D27D4EB4F))
-            flat = lambda a, kind: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(a).reshape(-1), kind), a.shape[1])
-            yield pa.record_batch([
-                pa.array(keys[i:j][some]),
-                flat(signed(bands), pa.int64()).cast(pa.list_(pa.int64())),
-            ], ["k", "bands"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, first = np.unique(batch.column("k").to_numpy(), return_index=True)
+            batch = batch.take(pa.array(first))
+            keys, (raw, offs) = batch.column("k").to_numpy(), buffers(batch.column("text"))
+            for i, j in slices(offs, rows=_at_once(bands * rows)):
+                words = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                row, h = shingles(words)
+                some = np.flatnonzero(words.counts > 0)
+                if not len(some):
+                    continue
+                sig = signatures(row, h, j - i, bands * rows)[some]
+                found = np.zeros((len(some), bands), np.uint64)
+                for r in range(rows):
+                    found = mix(found * U64(0x9E3779B97F4A7C15) + sig[:, r::rows])
+                found = mix(found + np.arange(1, bands + 1, dtype=np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(signed(found)).reshape(-1), pa.int64()), bands)
+                yield pa.record_batch([pa.array(keys[i:j][some]), flat.cast(pa.list_(pa.int64()))], ["k", "bands"])
+
+    return run
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -197,40 +208,71 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("k"), F.col("b").alias("c"))
 
 
-def _labels(docs: DataFrame) -> DataFrame:
-    """(k, c) for the text keys that are linked to another text."""
+def _labels(docs: DataFrame, exact: bool = False, stats: list | None = None) -> DataFrame:
+    """(k, c) for the text keys that are linked to another text. stats takes (level, pairs with pivots, pairs of sketches)."""
     texts = docs.select(text_key().alias("k"), "text")
-    sketch = materialise(texts.mapInArrow(tidy(_sketch), "k bigint, bands array<bigint>"), "sketches")
-    rows = sketch.select("k", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.count("*").alias("n")).where("a <> z").select("band", "n")
-    shared = materialise(rows.join(buckets, "band").distinct(), "buckets")
-    # a text that shares its buckets with many is near the middle of its group
-    middle = shared.groupBy("k").agg(F.sum("n").alias("near"))
-    members = materialise(shared.join(middle, "k").select("band", "k", "near"), "members")
-    pivots = members.groupBy("band").agg(F.max(F.struct("near", F.col("k").alias("a"))).alias("m")).select("band", "m.a")
-    stars = members.join(pivots, "band").where("a <> k").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
-    stars = materialise(stars, "stars")
-    near = members.select("k").distinct()
-    held = with_filter(texts, near).where("maybe").groupBy("k").agg(F.first("text").alias("text"))
-    held = materialise(held.join(near, "k", "left_semi"), "texts")
-    links = materialise(verified(stars, held), "links")
-    labels = components(links)
-    # what is left: pairs of members in different components, but those whose fine sketches are far apart
-    open_ = materialise(_open(members, labels), "open")
-    if open_.isEmpty():
-        return labels
-    fine = held.join(open_.select("k").distinct(), "k", "left_semi").mapInArrow(tidy(_fine_sketch), FINE_SCHEMA)
-    fine = materialise(fine.join(sketch.select("k", "bands").dropDuplicates(["k"]), "k"), "fine")
-    rows = open_.join(fine, "k")
-    side = lambda t: rows.select("band", F.col("k").alias(t), F.col("c").alias(f"c{t}"), F.col("bands").alias(f"bands{t}"), *[F.col(f"f{i}").alias(f"{t}{i}") for i in range(FINE // 16)])
-    x, y = side("a"), side("b").withColumnRenamed("band", "band_b")
-    first = F.element_at(F.array_intersect("bandsa", "bandsb"), 1) == F.col("band")
-    cross = x.join(y, (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_apart() <= FINE_APART) & first).select("a", "b")
-    cross = materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    more = materialise(verified(cross, held), "more-links")
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(more))
+    held = links = labels = fine = None
+    for level, (bands, width) in enumerate(LEVELS):
+        sketch = materialise(texts.mapInArrow(tidy(_sketch(bands, width)), "k bigint, bands array<bigint>"), "sketches")
+        rows = sketch.select("k", F.explode("bands").alias("band"))
+        buckets = rows.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.count("*").alias("n")).where("a <> z").select("band", "n")
+        shared = materialise(rows.join(buckets, "band").distinct(), "buckets")
+        # a text that shares its buckets with many is near the middle of its group
+        middle = shared.groupBy("k").agg(F.sum("n").alias("near"))
+        members = materialise(shared.join(middle, "k").select("band", "k", "near"), "members")
+        pivots = members.groupBy("band").agg(F.max(F.struct("near", F.col("k").alias("a"))).alias("m")).select("band", "m.a")
+        stars = members.join(pivots, "band").where("a <> k").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
+        if fine is not None and not exact:
+            stars = _near(stars, fine)
+        stars = materialise(stars, "stars")
+        if held is None:
+            near = members.select("k").distinct()
+            held = with_filter(texts, near).where("maybe").groupBy("k").agg(F.first("text").alias("text"))
+            held = materialise(held.join(near, "k", "left_semi"), "texts")
+        new = materialise(verified(stars, held), "links")
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+        # what is left: pairs of members in different components
+        open_ = materialise(_open(members, labels), "open")
+        last = level == len(LEVELS) - 1
+        now = open_ if last else open_.where("NOT large")
+        if stats is not None:
+            stats.append((level, stars.count(), int(now.dropDuplicates(["band"]).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])))
+        if fine is None and not open_.isEmpty():
+            fine = held.join(open_.select("k").distinct(), "k", "left_semi")
+            fine = fine.select("k") if exact else materialise(fine.mapInArrow(tidy(_fine_sketch), FINE_SCHEMA), "fine")
+        if not now.isEmpty():
+            more = materialise(verified(_cross(now, fine, exact).join(stars, ["a", "b"], "left_anti"), held), "more-links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links)
+        rest = open_.where("large").select("k").distinct()
+        left = 0 if last else rest.count()
+        if not left:
+            break
+        # long signatures take time, not room: enough parts for all cores
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        texts = held.join(rest, "k", "left_semi").repartition(max(4 * cores, left // PART), "k")
+    return labels
+
+
+def _near(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fine sketches are not far apart."""
+    for t in ("a", "b"):
+        pairs = pairs.join(fine.select(F.col("k").alias(t), *[F.col(f"f{i}").alias(f"{t}{i}") for i in range(FINE // 16)]), t)
+    return pairs.where(_apart() <= FINE_APART).select("a", "b")
+
+
+def _cross(open_: DataFrame, fine: DataFrame, exact: bool) -> DataFrame:
+    """(a, b): pairs of members of open buckets in different components whose fine sketches are not far apart. Those outside a
+    bucket's largest component stand in each of its parts, all members in one of them."""
+    longs = [] if exact else [f"f{i}" for i in range(FINE // 16)]
+    side = lambda rows, t: rows.join(fine, "k").select(F.col("band").alias(f"band{t}"), F.col("part").alias(f"part{t}"), F.col("k").alias(t), F.col("c").alias(f"c{t}"), "big", *[F.col(x).alias(f"{t}{x[1:]}") for x in longs])
+    few = side(open_.where("NOT big").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))), "a").drop("big")
+    all_ = side(open_.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))), "b")
+    meet = (F.col("banda") == F.col("bandb")) & (F.col("parta") == F.col("partb")) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b")))
+    pairs = few.join(all_, meet if exact else meet & (_apart() <= FINE_APART))
+    return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
 
 
 def _apart() -> Column:
@@ -245,10 +287,14 @@ def _apart() -> Column:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, k, c): the members of buckets that hold several components."""
-    label = members.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    mixed = label.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
-    return label.join(mixed, "band", "left_semi").select("band", "k", "c")
+    """(band, k, c, big, pairs, parts, large): the members of buckets that hold several components; big: whether a member is in
+    the bucket's largest one; pairs: those across components; large: whether they are more than CROSS for each member."""
+    label = members.join(labels, "k", "left").select("band", "k", F.coalesce("c", "k").alias("c"))
+    sizes = label.groupBy("band", "c").agg(F.count("*").alias("n"))
+    n, square = F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))
+    mixed = sizes.groupBy("band").agg(n.alias("n"), ((n.cast("double") * n - square) / 2).alias("pairs"), F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("m")).where("m > 1")
+    mixed = mixed.select("band", "most", "pairs", F.expr(f"(n - 1) div {PART} + 1").alias("parts"), (F.col("pairs") > F.col("n") * CROSS).alias("large"))
+    return label.join(mixed, "band").select("band", "k", "c", (F.col("c") == F.col("most")).alias("big"), "pairs", "parts", "large")
 
 
 def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +313,9 @@ def _blank() -> Column:
     return F.coalesce(F.translate("text", "\t\n\x0b\x0c\r ", ""), F.lit("")) == ""
 
 
-def _classes(rows: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame, exact: bool = False, stats: list | None = None) -> DataFrame:
     """(_k, class_id, class_size, best_id, best_k) of the text keys in classes of several rows. rows: doc_id, text, _k."""
-    labels = _labels(rows)
+    labels = _labels(rows, exact, stats)
     light = rows.where(~_blank()).select("doc_id", "_k")
     light = light.join(labels.withColumnRenamed("k", "_k"), "_k", "left").withColumn("c", F.coalesce("c", "_k"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_k"))).alias("best")
@@ -278,19 +324,20 @@ def _classes(rows: DataFrame) -> DataFrame:
     return materialise(light.select("_k", "c").distinct().join(classes, "c"), "classes")
 
 
-def _tagged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _tagged(docs: DataFrame, exact: bool = False, stats: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows that may be in a class of several, with its columns or nulls; the other rows)."""
     rows = docs.withColumn("_k", text_key())
-    several = _classes(rows)
+    several = _classes(rows, exact, stats)
     # only texts of classes with several rows need to look their class up
     tagged = with_filter(rows.withColumn("k", F.col("_k")), several.select(F.col("_k").alias("k"))).drop("k")
     return tagged.where("maybe").join(several, "_k", "left"), tagged.where("NOT maybe")
 
 
 @keeps(("doc_id", "text"), ("class_id", "class_size"))
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with class_id (smallest doc_id of the class) and class_size (its rows)."""
-    hit, rest = _tagged(docs)
+def near_duplicates(docs: DataFrame, exact: bool = False, stats: list | None = None) -> DataFrame:
+    """docs with class_id (smallest doc_id of the class) and class_size (its rows). exact: verify all candidates, without
+    sketches in front; stats: takes what each level compared."""
+    hit, rest = _tagged(docs, exact, stats)
     own = F.col("class_size").isNull()
     hit = hit.withColumn("class_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id"))).withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("bigint")))
     rest = rest.withColumns({"class_id": F.col("doc_id"), "class_size": F.lit(1).cast("bigint")})
@@ -300,11 +347,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 @keeps(("doc_id", "text"), ())
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class: that with the smallest doc_id, of equals the smallest text key."""
+    """One document of each class: that with the smallest doc_id, of equals the smallest text key, then by the other columns."""
     hit, rest = _tagged(docs)
     alone = hit.where("class_size IS NULL")
-    best = hit.where((F.col("best_k") == F.col("_k")) & F.col("best_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["c"])
-    return alone.select(*docs.columns).unionByName(best.select(*docs.columns)).unionByName(rest.select(*docs.columns))
+    best = hit.where((F.col("best_k") == F.col("_k")) & F.col("best_id").eqNullSafe(F.col("doc_id")))
+    whole, others = F.struct(*docs.columns), [c for c in docs.columns if c not in ("doc_id", "text")]
+    best = best.groupBy("c").agg(F.min_by(whole, F.to_json(F.struct(*others)) if others else F.lit(0)).alias("one")).select("one.*")
+    return alone.select(*docs.columns).unionByName(best).unionByName(rest.select(*docs.columns))
 
 
 def near_dup_query(spark, sf_dir: str) -> DataFrame:

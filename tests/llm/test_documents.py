@@ -277,6 +277,52 @@ def test_near_duplicates(frame, clashing):
     assert near_dup.near_duplicates(frame([])).count() == 0 and near_dup.keep_one(frame([(None, None)])).count() == 1
 
 
+def templated(n, words=120, changed=4, seed=3):
+    """Texts of one template, each with own words in places: they share buckets, and few or none are similar."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [f"w{x}" for x in range(words)]
+        for p in r.sample(range(words), changed):
+            w[p] = f"u{r.randrange(10**9)}"
+        rows.append((i, " ".join(w), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_large_buckets_are_banded_anew(frame, monkeypatch, exact):
+    """All levels and the comparison in parts find the classes that brute force finds."""
+    rows = templated(70) + templated(20, changed=2, seed=4)
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    classes = brute_classes(rows)
+    assert len(set(classes)) > 20 and len(set(classes)) < 85
+    want = {r[0]: min(r2[0] for r2, c2 in zip(rows, classes, strict=True) if c2 == c) for r, c in zip(rows, classes, strict=True)}
+    monkeypatch.setattr(near_dup, "CROSS", 0)
+    monkeypatch.setattr(near_dup, "PART", 7)
+    monkeypatch.setattr(near_dup, "LEVELS", ((32, 5), (60, 7), (90, 9)))
+    stats = []
+    assert dict(rows_of(near_dup.near_duplicates(frame(rows), exact=exact, stats=stats), "doc_id", "class_id")) == want
+    assert [x[0] for x in stats] == [0, 1, 2] and stats[0][2] == stats[1][2] == 0 < stats[2][2]
+
+
+def test_rows_compared_follow_members(frame, monkeypatch):
+    monkeypatch.setattr(near_dup, "CROSS", 8)
+    compared = []
+    for n in (150, 600):
+        stats = []
+        assert near_dup.near_duplicates(frame(templated(n, changed=6)), stats=stats).where("class_size > 1").count() == 0
+        compared.append(sum(x[1] + x[2] for x in stats))
+        print(n, "texts, rows compared by level:", stats)
+    assert compared[1] < 12 * compared[0]
+
+
+def test_keep_one_of_equal_rows(frame):
+    """Of rows with one doc_id and text that with the first other columns stays, in any order of rows."""
+    df = frame([(1, "a b c d e f", "z"), (1, "a b c d e f", "b"), (1, "a b c d e f", None), (2, "a b c d e f", "a"), (3, "x", "q")])
+    for parts in (1, 3):
+        assert sorted(rows_of(near_dup.keep_one(df.repartition(parts)), "doc_id", "source")) == [(1, "b"), (3, "q")]
+
+
 def test_components(spark):
     r = random.Random(4)
     chain = [(i, i + 1) for i in range(200, 260)]
