@@ -211,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _labels(docs: DataFrame, exact: bool = False, stats: list | None = None) -> DataFrame:
     """(k, c) for the text keys that are linked to another text. stats takes (level, pairs with pivots, pairs of sketches)."""
     texts = docs.select(text_key().alias("k"), "text")
-    held = links = labels = fine = None
+    held = labels = fine = done = None
     for level, (bands, width) in enumerate(LEVELS):
         sketch = materialise(texts.mapInArrow(tidy(_sketch(bands, width)), "k bigint, bands array<bigint>"), "sketches")
         rows = sketch.select("k", F.explode("bands").alias("band"))
@@ -222,16 +222,18 @@ def _labels(docs: DataFrame, exact: bool = False, stats: list | None = None) ->
         members = materialise(shared.join(middle, "k").select("band", "k", "near"), "members")
         pivots = members.groupBy("band").agg(F.max(F.struct("near", F.col("k").alias("a"))).alias("m")).select("band", "m.a")
         stars = members.join(pivots, "band").where("a <> k").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
-        if fine is not None and not exact:
-            stars = _near(stars, fine)
+        if labels is not None:
+            # pairs within a component or compared before say nothing new
+            stars = _apart_in(stars, labels).select("a", "b").join(done, ["a", "b"], "left_anti")
+            stars = stars if exact else _near(stars, fine)
         stars = materialise(stars, "stars")
         if held is None:
             near = members.select("k").distinct()
             held = with_filter(texts, near).where("maybe").groupBy("k").agg(F.first("text").alias("text"))
             held = materialise(held.join(near, "k", "left_semi"), "texts")
-        new = materialise(verified(stars, held), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        links = materialise(verified(stars, held), "links")
+        labels = components(links) if labels is None else _merged(labels, links)
+        done = stars if done is None else done.unionByName(stars)
         # what is left: pairs of members in different components
         open_ = materialise(_open(members, labels), "open")
         last = level == len(LEVELS) - 1
@@ -242,10 +244,9 @@ def _labels(docs: DataFrame, exact: bool = False, stats: list | None = None) ->
             fine = held.join(open_.select("k").distinct(), "k", "left_semi")
             fine = fine.select("k") if exact else materialise(fine.mapInArrow(tidy(_fine_sketch), FINE_SCHEMA), "fine")
         if not now.isEmpty():
-            more = materialise(verified(_cross(now, fine, exact).join(stars, ["a", "b"], "left_anti"), held), "more-links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
+            cross = materialise(_cross(now, fine, exact).join(done, ["a", "b"], "left_anti"), "cross")
+            labels = _merged(labels, materialise(verified(cross, held), "more-links"))
+            done = done.unionByName(cross)
         rest = open_.where("large").select("k").distinct()
         left = 0 if last else rest.count()
         if not left:
@@ -256,6 +257,24 @@ def _labels(docs: DataFrame, exact: bool = False, stats: list | None = None) ->
     return labels
 
 
+def _apart_in(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose members are in different components."""
+    named = pairs
+    for t in ("a", "b"):
+        named = named.join(labels.select(F.col("k").alias(t), F.col("c").alias(f"c{t}")), t, "left").withColumn(f"c{t}", F.coalesce(f"c{t}", t))
+    return named.where("ca <> cb").select("a", "b", "ca", "cb")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels with more links: only those between components count, as links of the components' smallest nodes."""
+    new = materialise(_apart_in(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "merges")
+    if new.isEmpty():
+        return labels
+    roots = components(new)
+    moved = labels.join(roots.select(F.col("k").alias("c"), F.col("c").alias("c2")), "c", "left").select("k", F.coalesce("c2", "c").alias("c"))
+    return materialise(moved.unionByName(roots), "labels")
+
+
 def _near(pairs: DataFrame, fine: DataFrame) -> DataFrame:
     """The pairs (a, b) whose fine sketches are not far apart."""
     for t in ("a", "b"):
@@ -272,7 +291,7 @@ def _cross(open_: DataFrame, fine: DataFrame, exact: bool) -> DataFrame:
     all_ = side(open_.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))), "b")
     meet = (F.col("banda") == F.col("bandb")) & (F.col("parta") == F.col("partb")) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b")))
     pairs = few.join(all_, meet if exact else meet & (_apart() <= FINE_APART))
-    return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _apart() -> Column:
