@@ -286,11 +286,14 @@ def _cross(open_: DataFrame, fine: DataFrame, exact: bool) -> DataFrame:
     """(a, b): pairs of members of open buckets in different components whose fine sketches are not far apart. Those outside a
     bucket's largest component stand in each of its parts, all members in one of them."""
     longs = [] if exact else [f"f{i}" for i in range(FINE // 16)]
-    side = lambda rows, t: rows.join(fine, "k").select(F.col("band").alias(f"band{t}"), F.col("part").alias(f"part{t}"), F.col("k").alias(t), F.col("c").alias(f"c{t}"), "big", *[F.col(x).alias(f"{t}{x[1:]}") for x in longs])
+    # a pair counts in the first of its buckets
+    fine = fine.join(open_.groupBy("k").agg(F.sort_array(F.collect_set("band")).alias("bands")), "k")
+    side = lambda rows, t: rows.join(fine, "k").select(F.col("bands").alias(f"bands{t}"), F.col("band").alias(f"band{t}"), F.col("part").alias(f"part{t}"), F.col("k").alias(t), F.col("c").alias(f"c{t}"), "big", *[F.col(x).alias(f"{t}{x[1:]}") for x in longs])
     few = side(open_.where("NOT big").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))), "a").drop("big")
     all_ = side(open_.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))), "b")
     meet = (F.col("banda") == F.col("bandb")) & (F.col("parta") == F.col("partb")) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b")))
-    pairs = few.join(all_, meet if exact else meet & (_apart() <= FINE_APART))
+    first = F.element_at(F.array_intersect("bandsa", "bandsb"), 1) == F.col("banda")
+    pairs = few.join(all_, meet & first if exact else meet & (_apart() <= FINE_APART) & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
