@@ -27,8 +27,9 @@ SLICE_BYTES = 900_000
 #: Bytes of an Arrow batch; a single longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 
-#: 4 MB: bits of the filter in front of text joins. Its size does not depend on the data.
-BLOOM_BITS = 1 << 25
+#: Bits of the filter in front of text joins: 16 for each key, within 4 MB and 32 MB. With more keys it lets more texts
+#: through, which the joins settle.
+BLOOM_LEAST, BLOOM_MOST = 1 << 25, 1 << 28
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,15 +37,20 @@ _BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.
 #: Multipliers are 5 modulo 8, so that powers differ in all but their last few bits.
 _BASES = {"byte": 0x9E3779B97F4A7C15 & ~7 | 5, "word": 0xC2B2AE3D27D4EB4F & ~7 | 5}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Hashes of bytes have a second part modulo this prime: modulo 2**64 alone some long words (Thue-Morse) collide for every base.
+_PRIME, _PRIME_BASE = U64((1 << 31) - 1), 1_352_087_411
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Only a local master, where all is one machine, may
+    go without: it gets a temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
@@ -122,12 +128,42 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[kind]
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo _PRIME, for x below 2**62."""
+    for _ in range(2):
+        x = (x & _PRIME) + (x >> U64(31))
+    return np.where(x == _PRIME, U64(0), x)
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo _PRIME, for 0..n."""
+    if "prime" not in _POWERS or len(_POWERS["prime"][0]) <= n:
+        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        both = []
+        for x in (_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME))):
+            a = np.ones(1, np.uint64)
+            while len(a) < size:
+                a = np.concatenate([a, _reduced(a * U64(pow(x, len(a), int(_PRIME))))])
+            both.append(a)
+        _POWERS["prime"] = (both[0], both[1])
+    return _POWERS["prime"]
+
+
+def _prime_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end] modulo _PRIME, from the values' upper bits."""
+    up, down = _prime_powers(len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(_reduced((values >> U64(33)) * up[: len(values)]), dtype=np.uint64, out=sums[1:])
+    return _reduced(_reduced(sums[end] - sums[start]) * down[start])
+
+
 def spans(values: np.ndarray, kind: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of values[start:end] for many spans at once, by prefix sums of a polynomial."""
     up, down = _powers(kind, len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    h = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
+    return mix(h ^ mix(_prime_spans(values, start, end) + U64(1))) if kind == "byte" else mix(h)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +249,12 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys, two bits each, as bytes; gathered in at most BLOOM_BITS / 32768 rows."""
-    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.lit(BLOOM_BITS)).alias("b")
+def _bloom(keys: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of the keys, two bits each, as bytes; gathered in at most size / 32768 rows."""
+    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.lit(size)).alias("b")
     bits = keys.select(F.explode(F.array(bit(1), bit(2))).alias("b"))
     bits = bits.groupBy(F.expr("bitmap_bucket_number(b)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
-    found = np.zeros(BLOOM_BITS // 8 + 4096, np.uint8)
+    found = np.zeros(size // 8 + 4096, np.uint8)
     for at, part in bits.collect():
         found[(at - 1) * 4096 : at * 4096] = np.frombuffer(part, np.uint8)
     return found
@@ -227,9 +263,10 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 def with_filter(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs with a column `maybe`: false where the key is surely not among keys."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bloom(keys).tobytes())
+    size = min(max(BLOOM_LEAST, 1 << (16 * keys.count()).bit_length()), BLOOM_MOST)
+    bits = spark.sparkContext.broadcast(_bloom(keys, size).tobytes())
     schema = extended(docs, maybe="boolean")
-    docs = docs.withColumns({"_b1": F.pmod(F.xxhash64(F.lit(1), F.col("k")), F.lit(BLOOM_BITS)), "_b2": F.pmod(F.xxhash64(F.lit(2), F.col("k")), F.lit(BLOOM_BITS))})
+    docs = docs.withColumns({"_b1": F.pmod(F.xxhash64(F.lit(1), F.col("k")), F.lit(size)), "_b2": F.pmod(F.xxhash64(F.lit(2), F.col("k")), F.lit(size))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)

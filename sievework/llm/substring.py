@@ -5,10 +5,12 @@ remainder modulo PERIOD lies in a difference cover: for any two positions some c
 PERIOD brings both onto the cover, so two equal windows always share an anchor inside them. Anchors
 that occur once are dropped; around the others the windows that hold them are hashed in full (the
 extension), counted over the corpus, and the words of windows that occur twice or more are removed.
+Anchors only choose candidates, by a fast hash of 64 bits; windows are told apart by a cryptographic
+digest of DIGEST bytes of their words.
 
 Scale: a batch sends each distinct anchor once, with its count and places, so a passage in a third of
 all rows is as many rows as there are batches. Texts are shuffled only where they hold a shared
-anchor (a Bloom filter of fixed size, BLOOM_BITS, sorts out most others; what it lets through is
+anchor (a Bloom filter of bounded size sorts out most others; what it lets through is
 settled by joins). Decisions travel under a key of the text, since they depend on the text alone.
 
 Defined results: null and empty texts, and texts shorter than a window, lose nothing; a repeated row's
@@ -34,18 +36,23 @@ PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
 SIZE = 35
 SPREAD = 64
+DIGEST = 16
 #: Hashes that a worker gathers before it sends them on.
 GATHER = 1 << 19
 _OCC = np.dtype([("k", "<i8"), ("p", "<i4")])
 
 
-def _gather(h: np.ndarray, key: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """One row for each distinct hash: its count and the place where it stands. A hash that stands in
+def _gather(h: np.ndarray, key: np.ndarray, at: np.ndarray, times: np.ndarray, g: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row for each distinct hash (h, with g as its second half if there is one): its count and the place where it stands. A hash that stands in
     several places here is shared already: its places go in rows of their own, SPREAD places each,
     under other hashes and with a count of two, so that they don't meet in one task."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h, kind="stable") if g is None else np.lexsort((g, h))
     h, times = h[order], times[order]
-    head = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    new = h[1:] != h[:-1]
+    if g is not None:
+        g = g[order]
+        new |= g[1:] != g[:-1]
+    head = np.concatenate([[True], new]) if len(h) else np.zeros(0, bool)
     start = np.flatnonzero(head)
     count = np.diff(np.append(start, len(h)))
     occ = np.empty(len(h), _OCC)
@@ -60,7 +67,21 @@ def _gather(h: np.ndarray, key: np.ndarray, at: np.ndarray, times: np.ndarray) -
     ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * _OCC.itemsize
     blobs = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
     hashes, counts = np.concatenate([h[start], own]), np.concatenate([n, np.full(len(chunks), 2)])
-    return pa.record_batch([pa.array(signed(hashes)), pa.array(counts.astype(np.int64)), blobs], ["h", "n", "occ"])
+    second = [] if g is None else [pa.array(signed(np.concatenate([g[start], g[moved[chunks]]])))]
+    return pa.record_batch([pa.array(signed(hashes)), pa.array(counts.astype(np.int64)), blobs, *second], ["h", "n", "occ", "g"][: 3 + len(second)])
+
+
+def digests(raw: np.ndarray, offsets: np.ndarray, words: Words, at: np.ndarray, size: int) -> np.ndarray:
+    """Digests, in two halves, of the windows that begin at the words `at` (in order): of their words joined by one space."""
+    length = words.end - words.start + 1
+    upto = np.concatenate([[0], np.cumsum(length)])
+    found, row = [], words.rows()[at]
+    rows, first = np.unique(row, return_index=True)
+    for r, mine in zip(rows.tolist(), np.split(at, first[1:]), strict=True):
+        plain = memoryview(b" ".join(raw[offsets[r] : offsets[r + 1]].tobytes().split()))
+        base = upto[words.first[r]]
+        found += [hashlib.blake2b(plain[a:b], digest_size=DIGEST).digest() for a, b in zip((upto[mine] - base).tolist(), (upto[mine + size] - base - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
 
 
 def _distinct(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -116,11 +137,12 @@ def _windows(size: int):
                     np.add.at(near, base + np.maximum(p - (size - length), 0), 1)
                     np.add.at(near, np.minimum(base + p + 1, end), -1)
                 near = np.cumsum(near[:-1]) > 0
-                at, h = words.windows(words.hashes(), size)
-                use = near[at]
-                at, h = at[use], h[use]
-                row = words.rows()[at]
-                parts.append((h, keys[i:j][row], at - words.first[row], times[i:j][row]))
+                room = np.repeat(words.first[1:], words.counts) - np.arange(len(words.start))
+                at = np.flatnonzero(near & (room >= size))
+                if not len(at):
+                    continue
+                h, row = digests(words.raw, offs[i : j + 1] - offs[i], words, at, size), words.rows()[at]
+                parts.append((h[:, 0], keys[i:j][row], at - words.first[row], times[i:j][row], h[:, 1]))
                 if sum(len(x[0]) for x in parts) > GATHER:
                     yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
                     parts = []
@@ -136,9 +158,9 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.ascontiguousarray(occ["k"])), pa.array(np.ascontiguousarray(occ["p"]))], ["k", "p"])
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, *by: str) -> DataFrame:
     """(k, places): where hashes stand that occur twice or more, by text key."""
-    rows = rows.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where("all > 1").select("occ")
+    rows = rows.withColumn("all", F.sum("n").over(Window.partitionBy(*by))).where("all > 1").select("occ")
     return rows.mapInArrow(tidy(_unpack), "k bigint, p int").groupBy("k").agg(F.collect_set("p").alias("places"))
 
 
@@ -193,11 +215,11 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, keep_text: bool = True)
         raise ValueError(f"a window needs {PERIOD} words or more")
     columns = docs.columns
     texts = docs.select(text_key().alias("k"), "text")
-    anchors = _shared(texts.mapInArrow(tidy(_anchors(size)), "h bigint, n bigint, occ binary"))
+    anchors = _shared(texts.mapInArrow(tidy(_anchors(size)), "h bigint, n bigint, occ binary"), "h")
     anchors = materialise(anchors, "anchors")
     some = with_filter(texts, anchors.select("k")).where("maybe").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     held = some.join(anchors, "k").select("k", "text", "copies", "places")
-    windows = materialise(_shared(held.mapInArrow(tidy(_windows(size)), "h bigint, n bigint, occ binary")), "windows")
+    windows = materialise(_shared(held.mapInArrow(tidy(_windows(size)), "h bigint, n bigint, occ binary, g bigint"), "h", "g"), "windows")
     tagged = with_filter(docs.withColumn("k", text_key()), windows.select("k"))
     hit = tagged.where("maybe").join(windows, "k", "left")
     rest = tagged.where("NOT maybe").withColumn("places", F.lit(None).cast("array<int>"))

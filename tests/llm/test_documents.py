@@ -207,6 +207,24 @@ def test_substrings(frame, clashing):
         substring.dedup_substrings(frame([]), size=5)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_weak_hashes_confuse(frame):
+    """Thue-Morse words and their inverse, which collide in polynomials modulo 2**64 for every base, are different words."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert one[:1024] != other[:1024]
+    filler = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{filler} {w}") for i, w in enumerate((one[:1024], other[:1024]))]
+    assert [r[1:] for r in sorted(rows_of(substring.dedup_substrings(frame(rows)), "doc_id", "n_words", "n_removed"))] == [(35, 0)] * 2
+    assert [r[1:] for r in sorted(rows_of(substring.dedup_substrings(frame([*rows, (2, rows[0][1])])), "doc_id", "n_words", "n_removed"))] == [(35, 35), (35, 0), (35, 35)]
+    trained, held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2][:1], [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2][:1]
+    got = {r.doc_id: r for r in hmm.score(frame([(trained[0], one), (held[0], other)])).collect()}
+    assert got[held[0]].n_known == 1 and got[trained[0]].n_known == 2
+
+
 # 2
 
 
