@@ -1,49 +1,55 @@
 """Operator 7, WARC: a deterministic sharded writer, and the reader of what it wrote.
 
-Records are range-partitioned by page_id. The bounds are quantiles of a sample that the ids' own
-hashes choose (at most SAMPLE ids), so they depend on the rows alone; every row is written. Within a
-shard records are sorted and written one gzip member each; a file is rolled when its compressed size
-reaches `roll_bytes`. Headers and digests are made anew and hold nothing that changes between runs, so
-equal tables give equal bytes. A file is written under a temporary name and renamed when whole; the
-manifest, a Parquet table with each file's size and digest, is written last, and readers read only
-what it lists. A task that runs again writes the same bytes under the same names.
+Records are range-partitioned in the order of page_id, url and a hash of the payload, into shards of about
+SHARD_BYTES. The bounds are quantiles, by bytes, of a sample that the keys' own hashes choose (some DRAWN keys a
+shard), so they depend on the rows alone; every row is written. Within a shard records are sorted and
+written one gzip member each; a file is rolled when its compressed size reaches `roll_bytes`. Headers and
+digests are made anew and hold nothing that changes between runs, so equal tables give equal bytes. A
+file is written under a temporary name and renamed when whole; the manifest, a Parquet table with each
+file's size and digest, is written last, and readers read only what it lists, in tasks of about READ_BYTES.
+A task that runs again finds the files that its forerunner finished, of equal bytes, and leaves them.
 
-Of records with equal payloads of LEAST_BYTES bytes or more, the one with the smallest page_id is a
-response and the others are revisits of it.
+Of records with equal payloads of LEAST_BYTES bytes or more, the one with the smallest page_id (of its rows
+the first by url) is a response and the others are revisits of it.
+
+Scale: shards and readers grow with the bytes, without a cap. A page_id (or none) that many rows have is
+split over shards by its urls and payloads; only rows equal in all three stay together.
 
 Defined results: a null html is the empty payload; a null url becomes the page's urn; of repeated rows
 the first in the order is the response; rows without a page_id come first, and are revisits if another
-row of their group has an id, else responses; extra columns are not archived.
+row of their group has an id, else responses; ids may be integers or strings; extra columns are not archived.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import io
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import extended, materialise, shared_dir, with_filter
 
-LEAST_BYTES, SAMPLE = 100, 8192
-SHARD_BYTES, ROLL_BYTES, LEAST_SHARDS = 256 << 20, 64 << 20, 64
+LEAST_BYTES, DRAWN = 100, 16
+SHARD_BYTES, ROLL_BYTES, READ_BYTES, LEAST_SHARDS = 256 << 20, 64 << 20, 64 << 20, 64
 DATE = "1970-01-01T00:00:00Z"
 _URN = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, and refers: the response's id in groups of equal payloads."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
-    groups = rows.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("refers"), F.count("*").alias("_n"))
+    """page_id, url, h, payload, payload_bytes, payload_digest, and refers (page_id and url of the response) in groups of equal payloads."""
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumns({"h": _payload_hash(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    groups = rows.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min(named).alias("refers"), F.count("*").alias("_n"))
     groups = materialise(groups.where("_n > 1").select("payload_digest", "refers"), "payload-groups")
     # payloads without an equal need no join, and so no shuffle
     key = F.xxhash64("payload_digest").alias("k")
@@ -53,18 +59,29 @@ def classified(pages: DataFrame) -> DataFrame:
     return tagged.where("maybe").join(groups, "payload_digest", "left").select(*columns).unionByName(alone.select(*columns))
 
 
-def bounds(rows: DataFrame, shards: int) -> np.ndarray:
-    """At most shards - 1 ids that part the rows into ranges of about equal counts."""
-    n = rows.count()
+def _payload_hash(payload: Column) -> Column:
+    return F.xxhash64(F.lit(7), payload)
+
+
+def bounds(pages: DataFrame, rows: int, shards: int) -> list[tuple]:
+    """At most shards - 1 keys (page_id, url, h) that part the rows into ranges of about equal bytes."""
     every = 1
-    while n / every > SAMPLE:
+    while rows / every > DRAWN * shards:
         every *= 2
-    picked = rows.where(F.pmod(F.xxhash64(F.lit(7), "page_id"), F.lit(every)) == 0).where("page_id IS NOT NULL")
-    # each id counts once, so at most n / every ids are expected
-    ids = np.sort(picked.select("page_id").distinct().toArrow()["page_id"].to_numpy())
-    if not len(ids):
-        return ids
-    return np.unique(ids[[len(ids) * i // shards for i in range(1, shards)]])
+    keys = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), _payload_hash(F.coalesce("html", F.lit("")).cast("binary")).alias("h"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 300).cast("bigint").alias("size"))
+    # equal rows are one key, so rows / every keys or fewer are expected
+    keys = keys.where(F.pmod(F.xxhash64("page_id", "url", "h"), F.lit(every)) == 0).groupBy("page_id", "url", "h").agg(F.sum("size").alias("size"))
+    order = Window.orderBy(F.col("page_id").asc_nulls_first(), "url", "h")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("size").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    keys = keys.withColumn("_b", F.floor(before * F.lit(shards) / whole))
+    found = keys.withColumn("_l", F.lag("_b").over(order)).where("_b > _l").select("page_id", "url", "h").toArrow()
+    return sorted(map(_key, *(found[c].to_pylist() for c in ("page_id", "url", "h"))))
+
+
+def _key(page_id, url: str, h: int) -> tuple:
+    """The order of records: as Spark sorts them, nulls first and strings by code point."""
+    return (page_id is not None, page_id if page_id is not None else 0, url, h)
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -77,19 +94,20 @@ def _member(header: bytes, *block: bytes) -> bytes:
     return b"".join([packer.compress(header), *map(packer.compress, block), packer.compress(b"\r\n\r\n"), packer.flush()])
 
 
-def record(page_id: int | None, nth: int, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member. nth: how many records of this page_id and digest came before it."""
-    name = lambda i, k: f"<urn:uuid:{uuid.uuid5(_URN, f'{i}/{digest}/{k}')}>"
+def record(page_id, nth: int, url: str, payload: bytes, digest: str, refers: dict | None, revisit: bool) -> bytes:
+    """One record as a gzip member. nth: how many records of this page_id, url and digest came before it."""
+    name = lambda i, u, k: f"<urn:uuid:{uuid.uuid5(_URN, f'{i}/{digest}/{k}/{u}')}>"
+    shown = lambda i: urllib.parse.quote(str(i), safe="")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = (http,) if revisit else (http, payload)
     whole = hashlib.sha256()
     for part in block:
         whole.update(part)
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name(page_id, nth)), ("WARC-Date", DATE), ("WARC-Target-URI", url or f"urn:page:{page_id}")]
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name(page_id, url, nth)), ("WARC-Date", DATE), ("WARC-Target-URI", url or f"urn:page:{page_id}")]
     if page_id is not None:
-        fields.append(("Page-Id", str(page_id)))
+        fields.append(("Page-Id", shown(page_id)))
     if revisit:
-        fields += [("WARC-Refers-To", name(refers, 0)), ("Refers-To-Page-Id", str(refers)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", name(refers["page_id"], refers["url"], 0)), ("Refers-To-Page-Id", shown(refers["page_id"])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{whole.hexdigest()}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(sum(map(len, block))))]
     return _member(_header(fields), *block)
 
@@ -124,9 +142,10 @@ class _Roller:
         self.out.close()
         self.out = None
         final = f"{self.root}/{self.name}"
-        if self.fs.get_file_info(final).type != arrow_fs.FileType.NotFound:
-            self.fs.delete_file(final)  # an earlier attempt's, of equal bytes
-        self.fs.move(self.temp, final)
+        if self.fs.get_file_info(final).type == arrow_fs.FileType.NotFound:
+            self.fs.move(self.temp, final)
+        else:  # an earlier attempt's, whole and of equal bytes
+            self.fs.delete_file(self.temp)
         return self.name, self.shard, self.records, self.size, self.sha.hexdigest()
 
 
@@ -148,9 +167,9 @@ def _writer(folder: str, most: int):
                     if roller is not None:
                         done.append(roller.close())
                     roller = _Roller(folder, shard, most)
-                nth = nth + 1 if last == (page_id, digest) else 0
-                last = page_id, digest
-                revisit = refers is not None and not (page_id == refers and nth == 0)
+                nth = nth + 1 if last == (page_id, url, digest) else 0
+                last = page_id, url, digest
+                revisit = refers is not None and not (refers == {"page_id": page_id, "url": url} and nth == 0)
                 done += roller.write(record(page_id, nth, url, payload, digest, refers, revisit))
             if done:
                 yield rows(done)
@@ -163,18 +182,18 @@ def _writer(folder: str, most: int):
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archive of pages (page_id, url, html) into a folder; returns the committed manifest."""
     spark = pages.sparkSession
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
-    shards = int(min(SAMPLE, max(LEAST_SHARDS, total // shard_bytes)))
-    edges = spark.sparkContext.broadcast(bounds(pages.select("page_id"), shards))
+    total, n = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
+    shards = int(max(LEAST_SHARDS, total // shard_bytes))
+    edges = spark.sparkContext.broadcast(bounds(pages, n, shards))
     rows = classified(pages)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("page_id")
-            at = np.searchsorted(edges.value, ids.fill_null(0).to_numpy(), "right") if len(edges.value) else np.zeros(len(ids), np.int64)
-            yield batch.append_column("shard", pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32)))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "h")), strict=True)
+            yield batch.append_column("shard", pa.array([bisect.bisect_right(edges.value, _key(*x)) for x in keys], pa.int32()))
 
-    dealt = rows.mapInArrow(deal, extended(rows, shard="int")).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "url")
+    # one partition a shard
+    dealt = rows.mapInArrow(deal, extended(rows, shard="int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "h", "payload_digest")
     dealt.mapInArrow(_writer(folder, roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -199,14 +218,14 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
+READ = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
 
 
-def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the files that the manifest lists; digests are verified. A revisit has no payload."""
+def read_warc(manifest: DataFrame, folder: str, payloads: bool = True, id_type: str = "bigint") -> DataFrame:
+    """The records of the files that the manifest lists; digests are verified. A revisit has no payload. id_type: the type of page ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
         fs, root = arrow_fs.FileSystem.from_uri(folder)
         rows, held = [], 0
         for batch in batches:
@@ -221,8 +240,8 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
                         digest = headers["warc-payload-digest"].removeprefix("sha256:")
                         if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"{name}: a payload is not what its digest says")
-                        number = lambda k: int(headers[k]) if k in headers else None  # noqa: E731, B023
-                        rows.append((number("page-id"), headers["warc-target-uri"], size, digest, headers["warc-type"], number("refers-to-page-id"), payload if payloads and not revisit else None))
+                        named = lambda k: urllib.parse.unquote(headers[k]) if k in headers else None  # noqa: E731, B023
+                        rows.append((named("page-id"), headers["warc-target-uri"], size, digest, headers["warc-type"], named("refers-to-page-id"), payload if payloads and not revisit else None))
                         held += len(rows[-1][-1] or b"") + 200
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -230,13 +249,17 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.select("file").repartition(LEAST_SHARDS, "file").mapInArrow(run, READ)
+    files, total = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = max(1, min(files, max(LEAST_SHARDS, -(-total // READ_BYTES))))
+    found = manifest.select("file").repartition(parts).mapInArrow(run, READ)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def warc_query(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_warc(manifest, folder, payloads=False).drop("payload", "url")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    manifest = write_warc(pages, folder)
+    return read_warc(manifest, folder, payloads=False, id_type=pages.schema["page_id"].dataType.simpleString()).drop("payload", "url")
 
 
 WARC_SQL = """

@@ -215,6 +215,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(empty, f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_shards_follow_bytes(spark, tmp_path):
+    """More shards than the least number, one id in many shards, readers by the manifest's bytes, and string ids."""
+    r = random.Random(5)
+    rows = [("hot" if i % 3 == 0 else None if i % 3 == 1 else f"é %{i}\n", f"u{r.random()}", "".join(r.choice("abcdef") for _ in range(300))) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    folder = f"file://{tmp_path}/s"
+    manifest = warc.write_warc(df, folder, shard_bytes=2000, roll_bytes=1000)
+    files = manifest.collect()
+    assert len({x.shard for x in files}) > 120 and max(x.records for x in files) < 40
+    back = warc.read_warc(manifest, folder, id_type="string")
+    assert back.rdd.getNumPartitions() == warc.LEAST_SHARDS < len(files)
+    before, warc.READ_BYTES = warc.READ_BYTES, 1500
+    try:
+        finer = warc.read_warc(manifest, folder, id_type="string")
+        assert finer.rdd.getNumPartitions() == -(-sum(x.bytes for x in files) // 1500) > warc.LEAST_SHARDS
+    finally:
+        warc.READ_BYTES = before
+    assert sorted(((x.page_id, x.payload.decode()) for x in back.collect()), key=str) == sorted(((a, c) for a, _, c in rows), key=str)
+
+
 def test_warc_finds_damage(spark, tmp_path):
     df, _ = pages(spark)
     folder = f"file://{tmp_path}/d"
