@@ -39,8 +39,12 @@ def coerce(value: Any, dtype: T.DataType, domain: tuple[int, int] | None = None)
                 raise OutOfRange(value, "float")
             return float(value)
     elif kind is T.DecimalType:
-        if isinstance(value, int | decimal.Decimal) and not isinstance(value, bool):
-            return decimal.Decimal(value)
+        if isinstance(value, int | float | decimal.Decimal) and not isinstance(value, bool) and value == value:
+            # a number of a text has its digits as written, another float its shortest ones
+            exact = decimal.Decimal(value if not isinstance(value, float) else getattr(value, "digits", repr(value)))
+            if not exact.is_finite() or exact.adjusted() >= dtype.precision - dtype.scale and exact or len(exact.as_tuple().digits) > 38 or -exact.as_tuple().exponent > 38:
+                raise OutOfRange(value, dtype.simpleString())
+            return exact
     elif kind in (T.DateType, T.TimestampType, T.TimestampNTZType):
         if isinstance(value, dt.date):
             return value
@@ -53,5 +57,7 @@ def coerce(value: Any, dtype: T.DataType, domain: tuple[int, int] | None = None)
 
 
 def literal(value: Any, dtype: T.DataType, domain: tuple[int, int] | None = None) -> Column:
-    """A typed literal: a float column compares with a float, not with the nearest double."""
+    """A typed literal: a float column compares with a float, not with the nearest double. Decimals keep all their places."""
+    if isinstance(dtype, T.DecimalType) and value is not None:
+        return F.lit(coerce(value, dtype, domain))
     return F.lit(coerce(value, dtype, domain)).cast(dtype)

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..errors import NoKey, ParseError, ValueNotFound
+from ..errors import FacetError, NoKey, ParseError, ValueNotFound
 from ..functions.literals import literal
 from ..plans.ast import Expr
 from ..plans.compiler import compile_expr
@@ -64,9 +64,12 @@ class Collection:
     # queries
 
     def query(self, expr: Expr, optimizer: bool = True, compat: bool = False) -> QueryResult:
-        if optimizer:
-            compile_expr(expr, self.registry)  # names and literals are checked also where a rewrite drops them
-            expr = optimize(expr, self.registry, compat)
+        try:
+            if optimizer:
+                compile_expr(expr, self.registry)  # names and literals are checked also where a rewrite drops them
+                expr = optimize(expr, self.registry, compat)
+        except RecursionError:
+            raise FacetError("the expression is nested too deeply") from None
         return QueryResult(self, expr)
 
     def query_str(self, text: str, optimizer: bool = True, compat: bool = False) -> QueryResult:
@@ -130,9 +133,12 @@ class Collection:
         return self.frame.join(keys.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.max(RID).alias(RID))
 
     def update(self, rows: DataFrame, strict: bool = True) -> Collection:
-        """Replaces the last row of each key; a missing key is an error, or with strict=False ignored."""
+        """Replaces the last row of each key; a missing key is an error, or with strict=False ignored. Of several new rows
+        with one key the last counts."""
         key = self._key()
-        rows = rows.select(*self.columns)
+        whole = F.struct(*self.columns)
+        rows = rows.select(whole.alias("_new"), F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_at"))
+        rows = rows.groupBy("_key").agg(F.max_by("_new", "_at").alias("_new")).select("_new.*")
         old = self._last_of_keys(rows)
         if strict:
             missing = rows.join(old, key, "left_anti").head(1)

@@ -73,8 +73,14 @@ class QueryResult:
         return self.rows().collect()
 
     def page(self, offset: int, limit: int = 0) -> DataFrame:
-        found = self.rows().offset(offset)
-        return found.limit(limit) if limit else found
+        """With a limit, the first offset + limit rows are looked for; without one, all rows from the id at the offset on."""
+        if limit:
+            return self.rows().offset(offset).limit(limit)
+        if not offset:
+            return self.rows()
+        rid = self.collection.rid
+        start = self.to_df().select(rid).orderBy(rid).offset(offset).limit(1)
+        return self.to_df().where(F.col(rid) >= start.scalar()).orderBy(rid).select(*self.collection.columns)
 
     def paginate(self, offset: int, limit: int = 0) -> tuple[list[Row], PageInfo]:
         total = self.count()

@@ -11,42 +11,49 @@ RID = "_rid"
 
 
 class RowSet:
-    """Immutable: every operator gives a new set."""
+    """Immutable: every operator gives a new set. The constructor drops repeated ids and nulls."""
 
     def __init__(self, ids: DataFrame):
-        self.ids = ids.select(F.col(ids.columns[0]).cast("bigint").alias(RID))
+        self.ids = ids.select(F.col(ids.columns[0]).cast("bigint").alias(RID)).where(F.col(RID).isNotNull()).distinct()
+
+    @classmethod
+    def _known(cls, ids: DataFrame) -> RowSet:
+        """Of ids that are distinct already."""
+        made = object.__new__(cls)
+        made.ids = ids.select(RID)
+        return made
 
     @classmethod
     def of(cls, spark: SparkSession, values: Iterable[int] = ()) -> RowSet:
-        return cls(spark.createDataFrame([(int(v),) for v in set(values)], f"{RID} bigint"))
+        return cls._known(spark.createDataFrame([(int(v),) for v in set(values)], f"{RID} bigint"))
 
     @classmethod
     def where(cls, df: DataFrame, condition: Column, rid: str = RID) -> RowSet:
-        return cls(df.where(condition).select(rid).distinct())
+        return cls(df.where(condition).select(rid))
 
     def __and__(self, other: RowSet) -> RowSet:
-        return RowSet(self.ids.join(other.ids, RID, "left_semi"))
+        return RowSet._known(self.ids.join(other.ids, RID, "left_semi"))
 
     def __or__(self, other: RowSet) -> RowSet:
-        return RowSet(self.ids.unionByName(other.ids).distinct())
+        return RowSet._known(self.ids.unionByName(other.ids).distinct())
 
     def __xor__(self, other: RowSet) -> RowSet:
         """Ids in exactly one of both: one aggregate over the union."""
         both = self.ids.unionByName(other.ids).groupBy(RID).agg(F.count("*").alias("n"))
-        return RowSet(both.where("n = 1"))
+        return RowSet._known(both.where("n = 1"))
 
     def __sub__(self, other: RowSet) -> RowSet:
-        return RowSet(self.ids.join(other.ids, RID, "left_anti"))
+        return RowSet._known(self.ids.join(other.ids, RID, "left_anti"))
 
     def add(self, *values: int) -> RowSet:
         return self | RowSet.of(self.ids.sparkSession, values)
 
     def discard(self, *values: int) -> RowSet:
-        return RowSet(self.ids.where(~F.col(RID).isin(*values)))
+        return RowSet._known(self.ids.where(~F.col(RID).isin(*values)))
 
     def without(self, condition: Column) -> RowSet:
         """Drops the ids for which the condition on `_rid` holds."""
-        return RowSet(self.ids.where(~F.coalesce(condition, F.lit(False))))
+        return RowSet._known(self.ids.where(~F.coalesce(condition, F.lit(False))))
 
     def __contains__(self, value: int) -> bool:
         return not self.ids.where(F.col(RID) == value).isEmpty()
@@ -75,7 +82,7 @@ class RowSet:
         return found[0][0] if found else None
 
     def range(self, low: int, high: int) -> RowSet:
-        return RowSet(self.ids.where(F.col(RID).between(low, high)))
+        return RowSet._known(self.ids.where(F.col(RID).between(low, high)))
 
     def values(self) -> list[int]:
         return [r[0] for r in self.ids.orderBy(RID).collect()]

@@ -26,9 +26,11 @@ class Expr:
 
     def walk(self) -> Iterator[Expr]:
         """This node and all below it, parents first."""
-        yield self
-        for child in self.children():
-            yield from child.walk()
+        wait: list[Expr] = [self]
+        while wait:
+            now = wait.pop()
+            yield now
+            wait.extend(reversed(now.children()))
 
     def __and__(self, other: Expr) -> Expr:
         return And(self, other)
@@ -85,7 +87,12 @@ class _Pair(Expr):
         return self.left, self.right
 
     def __str__(self) -> str:
-        return f"{self.left} {self.word} {self.right}"
+        parts: list[str] = []
+        e: Expr = self
+        while isinstance(e, _Pair):  # long chains grow to the left
+            parts += [str(e.right), e.word]
+            e = e.left
+        return " ".join([str(e), *reversed(parts)])
 
 
 @dataclass(frozen=True)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import FacetError
 from ..functions import strings
 from ..operators import postings
 from ..operators.arena import Arena
@@ -72,9 +74,9 @@ def _part(name: str, query, where: str) -> None:
     _add(name, run, f"SELECT * FROM part WHERE {where}")
 
 
-def _on(name: str, table: str, fields: dict[str, f.Field], query, where: str) -> None:
+def _on(name: str, table: str, fields: dict[str, f.Field] | Callable[[], dict[str, f.Field]], query, where: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return filter_stream(_table(spark, sf_dir, table), query, fields)
+        return filter_stream(_table(spark, sf_dir, table), query, fields() if callable(fields) else fields)
 
     _add(name, run, f"SELECT * FROM {table} WHERE {where}")
 
@@ -205,6 +207,54 @@ _add("arena_stale", lambda s, d: Arena.of(_table(s, d, "nation"), "n_nationkey")
      "SELECT 3::INT AS n_nationkey, 'AGAIN' AS n_name, 1::BIGINT AS generation")
 
 
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two new rows for each of three keys, in order."""
+    some = _some_nations(spark, sf_dir, 0)
+    return some.withColumn("n_name", F.lit("FIRST")).unionByName(some)
+
+
+_add("crud_update_repeated", lambda s, d: _rows(_nation(s, d).update(_twice(s, d)).query(b.all_())), f"{_OLD} WHERE n_nationkey >= 3 UNION ALL {_NEW.format(0)}")
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = part(spark, sf_dir)
+    return spark.createDataFrame([(c.contains(7), c.contains(-1), c.count(), len(c.query_str(FLAGSHIP).values()))], "has boolean, lacks boolean, n bigint, found bigint")
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = part(spark, sf_dir).create_index("width", f.ordered("p_size"))
+    c.remove_index("p_size")
+    return _rows(c.query_str("width > 30"))
+
+
+_add("list_facts", _facts, "SELECT count(*) FILTER (p_partkey = 7) > 0 AS has, count(*) FILTER (p_partkey = -1) > 0 AS lacks, count(*) AS n, count(*) FILTER ((p_brand = 'Brand#2' OR p_brand = 'Brand#17') AND p_size >= 20) AS found FROM part")
+_add("index_added", _indexed, "SELECT * FROM part WHERE p_size > 30")
+_add("list_without_key", lambda s, d: _rows(Collection(_table(s, d, "part"), fields=part_fields()).query_str("p_size > 30")), "SELECT * FROM part WHERE p_size > 30")
+_add("scan_in_order", lambda s, d: part(s, d).scan().limit(50).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 50")
+_add("scan_filter", lambda s, d: part(s, d).filter("p_size % 7 = 3").drop("_rid"), "SELECT * FROM part WHERE p_size % 7 = 3")
+_add("projection", lambda s, d: part(s, d).query_str(FLAGSHIP).to_df().select("p_name", "p_size"), "SELECT p_name, p_size FROM part WHERE (p_brand = 'Brand#2' OR p_brand = 'Brand#17') AND p_size >= 20")
+_add("without_optimizer", lambda s, d: _rows(part(s, d).query_str("not (p_size > 10 and p_size < 5) and p_size < 9", optimizer=False)), "SELECT * FROM part WHERE p_size < 9")
+_add("literal_escapes", lambda s, d: _rows(part(s, d).query_str('p_brand = "Bran\\d#2"')), "SELECT * FROM part WHERE p_brand = 'Brand#2'")
+_on("literal_bool", "part", lambda: {"large": f.hashed(F.col("p_size") > 20)}, "large = true", "p_size > 20")
+_on("literal_decimal", "part", lambda: {"price": f.ordered(F.col("p_retailprice").cast("decimal(12,2)"))}, "price >= 1200.5 and price != 1201.005", "p_retailprice::DECIMAL(12, 2) >= 1200.5")
+_on("many_terms", "part", {"key": f.ordered("p_partkey")}, " or ".join(f"key = {3 * i}" for i in range(1200)), "p_partkey % 3 = 0 AND p_partkey < 3600")
+_WRONG = {"nothing = 1": "InvalidName", 'p_size = "x"': "InvalidValueType", "p_size = 256": "OutOfRange", "p_brand < 3": "InvalidOperation", "p_size = ": "ParseError", "p_size = 1 )": "ParseError"}
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of error of each wrong query; all come before a job runs."""
+    found, c = [], part(spark, sf_dir)
+    for text in _WRONG:
+        try:
+            c.query_str(text).to_df()
+        except FacetError as error:
+            found.append((text, type(error).__name__))
+    return spark.createDataFrame(found, "query string, error string")
+
+
+_add("errors", _errors, "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _WRONG.items()) + ") t(query, error)")
+
+
 # sets and ordered maps
 def _sets(spark: SparkSession, sf_dir: str) -> tuple[RowSet, RowSet]:
     df = _table(spark, sf_dir, "part")
@@ -221,6 +271,14 @@ _add("set_range", lambda s, d: _sets(s, d)[0].range(100, 300).ids, f"SELECT * FR
 _add("set_without", lambda s, d: _sets(s, d)[0].without(F.col("_rid") % 2 == 0).ids, f"SELECT * FROM ({_A}) WHERE _rid % 2 <> 0")
 
 
+_add("set_insert_delete", lambda s, d: _sets(s, d)[0].add(5, 999_999_999).discard(7, 8).ids, f"({_A} AND p_partkey NOT IN (7, 8)) UNION SELECT 5 UNION SELECT 999999999")
+_add("set_of_repeats", lambda s, d: s.createDataFrame([(len(x := RowSet(_table(s, d, "part").select("p_size"))), x.is_empty(), 3 in x)], "n bigint, empty boolean, three boolean"),
+     "SELECT count(DISTINCT p_size) AS n, count(*) = 0 AS empty, count(*) FILTER (p_size = 3) > 0 AS three FROM part")
+_add("set_batches", lambda s, d: s.createDataFrame([(i, x[0], x[-1], len(x)) for i, x in enumerate(_sets(s, d)[0].batches(64))], "batch bigint, first bigint, last bigint, n bigint"),
+     f"SELECT i // 64 AS batch, min(_rid)::BIGINT AS first, max(_rid)::BIGINT AS last, count(*) AS n FROM (SELECT _rid, row_number() OVER (ORDER BY _rid) - 1 AS i FROM ({_A})) GROUP BY 1")
+_add("set_convert", lambda s, d: RowSet.of(s, _sets(s, d)[0].values()).bitmaps().select(F.sum(F.expr("bitmap_count(bitmap)")).alias("n")), f"SELECT count(*) AS n FROM ({_A})")
+
+
 def _map(spark: SparkSession, sf_dir: str) -> OrderedMap:
     return OrderedMap(_table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
@@ -236,6 +294,10 @@ _add("ordered_multi_get", lambda s, d: _map(s, d).multi_get(3, 999_999_999, 1, 7
 _add("ordered_put_delete", lambda s, d: _map(s, d).delete(1).put(2, "changed")[0].less(5), f"SELECT p_partkey, CASE p_partkey WHEN 2 THEN 'changed' ELSE p_name END AS p_name FROM part WHERE p_partkey < 5 AND p_partkey <> 1")
 
 
+_add("ordered_traverse", lambda s, d: s.createDataFrame([(i, *r) for i, r in enumerate(islice(_map(s, d).traverse(), 40))], "place bigint, p_partkey bigint, p_name string"),
+     f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_partkey::BIGINT AS p_partkey, p_name FROM ({_MAP} ORDER BY p_partkey LIMIT 40)")
+
+
 # functions and stored access paths
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_name").distinct()
@@ -245,7 +307,24 @@ _add("soundex_codes", lambda s, d: _names(s, d).select("p_name", strings.soundex
      _soundex_sql("(SELECT DISTINCT p_name AS v FROM part)") + "SELECT v AS p_name, code FROM x")
 _add("levenshtein_scores", lambda s, d: _names(s, d).select("p_name", strings.levenshtein(F.col("p_name"), F.lit("öld bolt")).alias("d")),
      "SELECT DISTINCT p_name, levenshtein(p_name, 'öld bolt')::INT AS d FROM part")
-_add("cologne_codes", lambda s, d: _names(s, d).select("p_name", strings.cologne(F.col("p_name")).alias("code")), None)
+_once = "raw"
+for _k in range(9):
+    _once = f"regexp_replace({_once}, '{_k}+', '{_k}', 'g')"
+COLOGNE_SQL = f"""
+WITH l AS (SELECT p_name, regexp_replace(translate(replace(p_name, 'ß', 'SS'), 'abcdefghijklmnopqrstuvwxyzäöüÄÖÜ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZAOUAOU'), '[^A-Z]', '', 'g') AS s
+           FROM (SELECT DISTINCT p_name FROM part)),
+i AS (SELECT p_name, s, unnest(range(1, len(s) + 1)) AS i FROM l),
+n AS (SELECT p_name, i, substr(s, i, 1) AS c, CASE WHEN i > 1 THEN substr(s, i - 1, 1) ELSE '' END AS b, substr(s, i + 1, 1) AS a FROM i),
+d AS (SELECT p_name, i, CASE WHEN c IN ('A', 'E', 'I', 'J', 'O', 'U', 'Y') THEN '0' WHEN c = 'H' THEN '' WHEN c = 'B' OR c = 'P' AND a <> 'H' THEN '1'
+        WHEN c IN ('D', 'T') THEN CASE WHEN a IN ('C', 'S', 'Z') THEN '8' ELSE '2' END WHEN c IN ('F', 'V', 'W', 'P') THEN '3' WHEN c IN ('G', 'K', 'Q') THEN '4'
+        WHEN c = 'C' THEN CASE WHEN i = 1 AND a IN ('A', 'H', 'K', 'L', 'O', 'Q', 'R', 'U', 'X') OR i > 1 AND a IN ('A', 'H', 'K', 'O', 'Q', 'U', 'X') AND b NOT IN ('S', 'Z') THEN '4' ELSE '8' END
+        WHEN c = 'X' THEN CASE WHEN b IN ('C', 'K', 'Q') THEN '8' ELSE '48' END WHEN c = 'L' THEN '5' WHEN c IN ('M', 'N') THEN '6' WHEN c = 'R' THEN '7' ELSE '8' END AS x FROM n),
+r AS (SELECT l.p_name, coalesce(string_agg(x, '' ORDER BY i), '') AS raw FROM l LEFT JOIN d USING (p_name) GROUP BY 1),
+o AS (SELECT p_name, {_once} AS o FROM r),
+z AS (SELECT p_name, left(left(o, 1) || replace(substr(o, 2), '0', ''), 7) AS z FROM o)
+SELECT p_name, CASE WHEN z = '' THEN 0 ELSE (16 ** len(z) + list_sum(list_transform(range(1, len(z) + 1), lambda k: substr(z, k, 1)::DOUBLE * 16 ** (len(z) - k)))) END::BIGINT AS code FROM z
+"""
+_add("cologne_codes", lambda s, d: _names(s, d).select("p_name", strings.cologne(F.col("p_name")).alias("code")), COLOGNE_SQL)
 _add("substring_get", lambda s, d: _table(s, d, "part").where(strings.contains(F.col("p_name"), "ol")), "SELECT * FROM part WHERE contains(p_name, 'ol')")
 _add("gram_postings_like", lambda s, d: postings.like_by_grams(t := _table(s, d, "part"), postings.gram_postings(t, "p_partkey", "p_name"), "p_partkey", "p_name", "%old%olt"), "SELECT * FROM part WHERE p_name LIKE '%old%olt'")
 _add("bitmap_counts", lambda s, d: postings.count_values(postings.value_bitmaps(_table(s, d, "part"), "p_partkey", "p_brand"), "Brand#2", "Brand#17"),

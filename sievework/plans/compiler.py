@@ -33,12 +33,10 @@ def compile_expr(e: Expr, registry: Registry) -> Column:
             return F.lit(True)
         case FalseE():
             return F.lit(False)
-        case And(a, b):
-            return compile_expr(a, registry) & compile_expr(b, registry)
-        case Or(a, b):
-            return compile_expr(a, registry) | compile_expr(b, registry)
-        case AndNot(a, b):
-            return compile_expr(a, registry) & ~two_valued(compile_expr(b, registry))
+        case And() | Or() | AndNot():
+            return _chain(e, registry)
+        case Not(Term(name, "=", value, False)):
+            return _leaf(registry, name, "!=", (value,), False)
         case Not(child):
             return ~two_valued(compile_expr(child, registry))
         case Term(name, op, value, user):
@@ -48,12 +46,55 @@ def compile_expr(e: Expr, registry: Registry) -> Column:
     raise TypeError(f"{e!r} is no expression")
 
 
+def _chain(e: Expr, registry: Registry) -> Column:
+    """Chains, which grow to the left, as balanced trees of one connective each."""
+    nodes: list[Expr] = []
+    while isinstance(e, And | Or | AndNot):
+        nodes.append(e)
+        e = e.left
+    parts: list[Expr | Column] = [e]
+    either = isinstance(nodes[-1], Or)
+    for node in reversed(nodes):
+        if isinstance(node, Or) is not either:
+            parts, either = [_joined(parts, either, registry)], not either
+        parts.append(Not(node.right) if isinstance(node, AndNot) else node.right)
+    return _joined(parts, either, registry)
+
+
+def _joined(parts: list[Expr | Column], either: bool, registry: Registry) -> Column:
+    """The parts of a chain; equal comparisons of one field that are joined by OR are one IN."""
+    same: dict[str, list] = {}
+    for x in parts if either else ():
+        if isinstance(x, Term) and x.op == "=" and not x.user and x.value is not None and _plain(registry[x.field]):
+            same.setdefault(x.field, []).append(x.value)
+    same = {name: values for name, values in same.items() if len(values) > 1}
+    rest = [x for x in parts if not (isinstance(x, Term) and x.op == "=" and not x.user and x.field in same and x.value is not None)]
+    found = [x if isinstance(x, Column) else compile_expr(x, registry) for x in rest]
+    return _balanced(found + [_leaf(registry, name, "IN", tuple(values), False) for name, values in same.items()], either)
+
+
+def _plain(f: Field) -> bool:
+    return {"=", "IN"} <= f.ops and not (f.multi or f.routes or f.user)
+
+
+def _balanced(parts: list[Column], either: bool) -> Column:
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [reduce(Column.__or__ if either else Column.__and__, pair) for pair in pairs]
+    return parts[0]
+
+
 def _leaf(registry: Registry, name: str, op: str, values: tuple, user: bool) -> Column:
     f = registry[name]
     if op == "IS NULL":
         return f.expr().isNull()
     if op == "!=":
-        return ~two_valued(_leaf(registry, name, "=", values, user))
+        same = _leaf(registry, name, "=", values, user)
+        g = f.routes.get("=", f)
+        if g.multi or g.parse is not None or "=" in g.user or values[0] is None:
+            return ~two_valued(same)
+        # the same, in a form that scans take
+        return ~g.expr().eqNullSafe(literal(values[0], registry.type_of(g), g.domain))
     f = f.routes.get(op, f)
     own = f.user.get(op)
     if own is None and (user or op not in f.ops and not (op == "=" and "!=" in f.ops)):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.errors import InvalidArgsLen, InvalidName, InvalidOperation, InvalidValueType, NoKey, OutOfRange, ParseError, ValueNotFound
+from sievework.errors import FacetError, InvalidArgsLen, InvalidName, InvalidOperation, InvalidValueType, NoKey, OutOfRange, ParseError, ValueNotFound
 from sievework.functions import strings
 from sievework.functions.literals import coerce
 from sievework.operators import postings
@@ -338,3 +338,39 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = c.query(parse('n >= 3 and s like "ab%"')).to_df()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(id,3)" in plan and "StringStartsWith(s,ab)" in plan
     assert c.query_str("n > 5 and n < 3").to_df()._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation <empty>")
+
+
+def test_sets_of_repeated_ids(spark):
+    ids = lambda *v: RowSet(spark.createDataFrame([(x,) for x in v], "x int"))
+    assert (ids(1, 1, 2) ^ ids(2)).values() == [1] and len(ids(1, 1, 2, None)) == 2
+
+
+def test_decimals(spark):
+    import decimal
+
+    df = spark.createDataFrame([(i, decimal.Decimal(x)) for i, x in enumerate(("10.50", "10.49", "-3.00", "9999999999.99"))], "k int, p decimal(12,2)")
+    c = Collection(df, "k", "k", {"p": f.ordered("p")})
+    found = lambda text: [r.k for r in c.query_str(text).values()]
+    assert found("p >= 10.5") == [0, 3] and found("p > 10.495") == [0, 3] and found("p = 10.49") == [1] and found("p < 0") == [2] and found("p in(10.50, -3.0)") == [0, 2]
+    for text in ("p = 10000000000", "p < 123456789012.5"):
+        with pytest.raises(OutOfRange):
+            c.query_str(text).count()
+
+
+def test_long_expressions(spark):
+    df = spark.range(100).withColumn("v", F.col("id") % 10)
+    c = Collection(df, "id", "id", {"v": f.ordered("v")})
+    terms = " or ".join(f"v = {i}" for i in range(7, 5007))
+    assert c.query_str(terms).count() == 30
+    both = c.query_str("not (" + " or ".join(f"v = {i}" for i in range(4)) + ") and " + " and ".join(["v < 9"] * 2000))
+    assert "IN" in c.query_str(terms).to_df()._jdf.queryExecution().optimizedPlan().toString()
+    assert both.count() == 50 and str(both.expr).count("AND") >= 1999 and sum(1 for _ in both.expr.walk()) > 3999
+    with pytest.raises(FacetError):
+        c.query_str("(" * 5000 + "v = 1" + ")" * 5000).count()
+
+
+def test_pages_without_a_limit(spark):
+    c = Collection(spark.range(1000).repartition(7), "id", "id", {})
+    rest = c.query(b.all_()).page(990)
+    assert [r.id for r in rest.collect()] == list(range(990, 1000)) and c.query(b.all_()).page(1000).count() == 0
+    assert "CollectLimit -1" not in rest._jdf.queryExecution().toString()
