@@ -14,7 +14,8 @@ the join.
 
 Defined results: exact repeats of a row are one turn; turns stand in the order of (turn, role, text),
 nulls first; a null role is "unknown", a null text is empty; rows of a null conv_id are one
-conversation; an empty table renders nothing. Extra columns are ignored.
+conversation; the template's markers inside a role or text are written with a sign between (`<|im_` as
+`<|_im_`), so no text can end its turn; an empty table renders nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from ._text import materialise
 
 BLOCK, PART = 64, 256
 #: Fixed values of the template.
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+OPEN, CLOSE, MARK, PLAIN = "<|im_start|>", "<|im_end|>", "<|im_", "<|_im_"
 
 
 def positions(turns: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def maximal(rows: DataFrame) -> DataFrame:
 
 
 def render(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(OPEN), role, F.lit("\n"), text, F.lit(CLOSE + "\n"))
+    plain = lambda c: F.replace(c, F.lit(MARK), F.lit(PLAIN))
+    return F.concat(F.lit(OPEN), plain(role), F.lit("\n"), plain(text), F.lit(CLOSE + "\n"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -83,6 +85,6 @@ h AS (SELECT *, md5(string_agg(role || chr(0) || text || chr(1), '') OVER (PARTI
 w AS (SELECT h, min(conv_id) AS conv_id FROM h WHERE i = n - 1 GROUP BY h),
 k AS (SELECT conv_id FROM w WHERE h NOT IN (SELECT h FROM h WHERE i < n - 1))
 SELECT p.conv_id, p.i // 256 AS part, p.n AS n_turns,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY i) AS rendered
+  string_agg('<|im_start|>' || replace(role, '<|im_', '<|_im_') || chr(10) || replace(text, '<|im_', '<|_im_') || '<|im_end|>' || chr(10), '' ORDER BY i) AS rendered
 FROM p JOIN k ON p.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY 1, 2, 3
 """

@@ -8,7 +8,8 @@ edit distance of the item to any passage there. Words compare without ASCII case
 Scale: one pass over the documents, without a shuffle, for each block of the benchmark; a block is
 held to BLOCK_BYTES of text, so what is broadcast has a bound and a large benchmark takes more passes.
 
-Defined results: null and empty texts match nothing; null items and items without a word are no items;
+Defined results: null and empty texts match nothing; null items and items of fewer than LEAST_WORDS words, which
+stand in clean texts too, are no items (`short_items` lists them);
 repeated items count once an item_id; a document row has each item at most once, with its smallest
 distance, leftmost of equals; repeated rows match alike. Extra columns pass through, but `leaks` is
 replaced.
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import U64, Words, buffers, extended, keeps, slices, spans, tidy
+from .mixing import _size
 
-ERROR = 0.2
+ERROR, LEAST_WORDS = 0.2, 3
 BLOCK_BYTES = 8 << 20
 LEAK = "array<struct<item_id: bigint, distance: int, last_word: int>>"
 _BITS = 20
@@ -61,14 +63,14 @@ def myers(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
 class Items:
     """A block of the benchmark, ready for lookups."""
 
-    def __init__(self, rows: list[tuple[int, str]], error: float = ERROR):
+    def __init__(self, rows: list[tuple[int, str]], error: float = ERROR, least: int = LEAST_WORDS):
         self.ids, self.words, self.budget = [], [], []
         where: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         for item, text in rows:
             raw = np.frombuffer(text.encode(), np.uint8)
             words = Words(raw, np.array([0, len(raw)]))
             m = len(words.start)
-            if not m:
+            if m < max(1, least):
                 continue
             k = int(error * m)
             h = words.hashes(lower=True)
@@ -128,8 +130,8 @@ class Items:
 
 
 @keeps(("text",), ("leaks",))
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """docs with `leaks`: the items of the benchmark that stand in the text, [] if none."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, least: int = LEAST_WORDS) -> DataFrame:
+    """docs with `leaks`: the items of the benchmark that stand in the text, [] if none. least: words of an item."""
     spark = docs.sparkSession
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -138,13 +140,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> D
     schema = extended(docs, leaks=LEAK)
     for block in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        out = out.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(rows), error)), schema)
+        out = out.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(rows), error, least)), schema)
     return out
 
 
-def _finder(rows, error: float):
+def _finder(rows, error: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows.value, error)
+        items = Items(rows.value, error, least)
         for batch in batches:
             leaks = batch.column("leaks").to_pylist()
             raw, offs = buffers(batch.column("text"))
@@ -157,10 +159,15 @@ def _finder(rows, error: float):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
+def short_items(benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """The rows of the benchmark that are too short to be items."""
+    return benchmark.where(~F.coalesce(_size(F.col("text")) >= least, F.lit(False)))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, least: int = LEAST_WORDS) -> DataFrame:
     """The documents without a leak, columns as they were."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    return find_leaks(named, benchmark, error).where(F.size("leaks") == 0).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return find_leaks(named, benchmark, error, least).where(F.size("leaks") == 0).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def decontam_query(spark, sf_dir: str) -> DataFrame:

@@ -313,7 +313,7 @@ def train(codes: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states: i
 
 def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """One row a row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = docs.select("doc_id", "text", (crc % HELD_OUT[0] == HELD_OUT[1]).alias("held_out"))
     counts = docs.where("NOT held_out").select("text").mapInArrow(tidy(_count), "h bigint, e int, n bigint")
@@ -324,7 +324,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFr
     sizes = [tuple(r) for r in words.groupBy("e").agg(F.sum("c"), F.count("*")).collect()]
     lookup = Lookup(hot, sizes, total, distinct)
     shared = spark.sparkContext.broadcast(lookup)
-    codes = docs.mapInArrow(tidy(_coder(shared)), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, seq binary, inner binary, rare array<bigint>, times array<int>")
+    codes = docs.mapInArrow(tidy(_coder(shared)), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, inside double, seq binary, inner binary, rare array<bigint>, times array<int>")
     codes = materialise(codes.withColumn("uid", F.monotonically_increasing_id()), "codes")
     unigram = np.zeros(CLASSES)
     unigram[0] = ends
@@ -352,7 +352,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFr
     found = F.collect_list(F.struct("h", *[f"r{x}" for x in range(states)])).alias("found")
     rare = rare.join(ratios, "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), found)
     both = codes.drop("times").join(rare, "uid", "left").select("doc_id", "held_out", "n_tokens", "known", "base", "inside", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("logs", F.lit(0.0)).alias("logs"), "seq", "inner", "rare", "found")
-    out = both.mapInArrow(tidy(_scorer(model, spark.sparkContext.broadcast(frequent))), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, more bigint, logs double, forward double")
+    out = both.mapInArrow(tidy(_scorer(model, spark.sparkContext.broadcast(frequent))), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, inside double, more bigint, logs double, forward double")
     end_log, denominator = float(np.log10(ends + 1.0)), float(np.log10(total + distinct + 1.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),

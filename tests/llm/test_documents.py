@@ -408,7 +408,7 @@ def test_leaks(spark, frame, clashing):
             w[at : at + 1] = ["zz"] if kind < 0.4 else [] if kind < 0.7 and len(w) > 1 else [w[at].upper(), "ins"]
         rows.append((500 + i, " ".join(["before"] * r.randint(0, 5) + w + ["after"] * r.randint(0, 5)), "s"))
     table = spark.createDataFrame(items, "item_id long, text string")
-    out = decontam.find_leaks(frame(rows, **clashing), table)
+    out = decontam.find_leaks(frame(rows, **clashing), table, least=1)
     got = collections.Counter((t, x["item_id"], x["distance"]) for t, xs in rows_of(out, "text", "leaks") for x in xs)
     want = collections.Counter()
     for _, text, _ in rows:
@@ -420,18 +420,25 @@ def test_leaks(spark, frame, clashing):
                 own[item, passage] = d
         want.update((text, item, d) for (item, _), d in own.items())
     assert got == want and sum(want.values()) > 10
-    clean = decontam.decontaminate(frame(rows, **clashing), table)
+    clean = decontam.decontaminate(frame(rows, **clashing), table, least=1)
     assert clean.columns == frame(rows, **clashing).columns
     assert clean.count() == sum(not any(t == text for t, *_ in want) for _, text, _ in rows)
     before, decontam.BLOCK_BYTES = decontam.BLOCK_BYTES, 300
     try:
-        many = decontam.find_leaks(frame(rows), table)
+        many = decontam.find_leaks(frame(rows), table, least=1)
         assert collections.Counter((t, x["item_id"], x["distance"]) for t, xs in rows_of(many, "text", "leaks") for x in xs) == want
     finally:
         decontam.BLOCK_BYTES = before
     assert decontam.find_leaks(frame([]), table).count() == 0 and decontam.decontaminate(frame(rows), table.limit(0)).count() == len(rows)
 
 
+def test_short_items(spark, frame):
+    table = spark.createDataFrame([(1, "the"), (2, "of the"), (3, "one two three"), (4, None)], "item_id long, text string")
+    rows = [(1, "the cat of the house"), (2, "one two three four")]
+    assert [r[0] for r in rows_of(decontam.decontaminate(frame(rows), table), "doc_id")] == [1]
+    assert sorted(rows_of(decontam.short_items(table), "item_id")) == [(1,), (2,), (4,)]
+
+
 # 8
 
 
