@@ -9,7 +9,8 @@ The end of a text is a token and a class. So the matrices of classes have a fixe
 expected counts of states and words grow with the corpus and stay distributed.
 
 Training is Baum-Welch over all training texts: each partition runs the scaled forward and backward
-recursions over stretches of STRETCH tokens and adds up expected counts; the counts are summed over
+recursions over stretches of STRETCH tokens, read with OVERLAP tokens more on both sides, and adds up the
+stretch's own expected counts (each token and each transition of a text once; the initial state at starts of texts only); the counts are summed over
 partitions by an aggregate, and only the summed matrices reach the driver. The rounds begin with words
 that are spread over their class alike in all states; after them one more pass counts states and words.
 Scoring runs the scaled forward recursion over the whole text, which gives its exact likelihood.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._text import U64, Words, buffers, materialise, mix, signed, slices, tidy
 
-STATES, ROUNDS, STRETCH = 6, 5, 64
+STATES, ROUNDS, STRETCH, OVERLAP = 6, 5, 96, 12
 OWN, ENDINGS, HOT = 2047, 192, 1 << 17
 CLASSES = 1 + OWN + ENDINGS
 HELD_OUT = (7, 2)
@@ -144,22 +145,25 @@ def start(unigram: np.ndarray, states: int = STATES) -> tuple[np.ndarray, np.nda
     return np.full(states, 1 / states), np.full((states, states), (1 - stay) / (states - 1)) + np.eye(states) * (stay - (1 - stay) / (states - 1)), emission
 
 
-def stretches(seqs: list[np.ndarray], most: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts sequences: (first token of each stretch in the concatenation, its length), longest first."""
+def stretches(seqs: list[np.ndarray], most: int = STRETCH, overlap: int = OVERLAP) -> tuple[np.ndarray, ...]:
+    """Cuts sequences: (first token of each stretch in the concatenation, its length, its own part's first and end within it,
+    does it begin a sequence), longest first."""
     n = np.array([len(s) for s in seqs], np.int64)
     base = np.cumsum(n) - n
     parts = -(-n // most)
     row = np.repeat(np.arange(len(n)), parts)
     k = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-    first, size = base[row] + k * most, np.minimum(most, n[row] - k * most)
-    order = np.argsort(-size, kind="stable")
-    return first[order], size[order]
+    lo, hi = np.maximum(k * most - overlap, 0), np.minimum((k + 1) * most + overlap, n[row])
+    own, end = k * most - lo, np.minimum((k + 1) * most, n[row]) - lo
+    order = np.argsort(lo - hi, kind="stable")
+    return (base[row] + lo)[order], (hi - lo)[order], own[order], end[order], (k == 0)[order]
 
 
-def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model, states: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of stretches (longest first): initial, transition, emission, log10 likelihood.
-    states, one row a token, takes the chances of each token's states."""
+def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, own: np.ndarray, end: np.ndarray, heads: np.ndarray, model, states: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of stretches: initial, transition, emission, log10 likelihood. A stretch that begins no
+    sequence starts with the states' overall shares. states, one row a token, takes the chances of each token's states."""
     pi, trans, emit = model
+    middle = np.linalg.matrix_power(trans, 64).mean(0)
     k, by_class = len(pi), np.ascontiguousarray(emit.T)
     steps = int(size[0]) if len(size) else 0
     alive = np.searchsorted(-size, -np.arange(steps), "left")
@@ -168,28 +172,29 @@ def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, model, states:
     for t in range(steps):
         n = alive[t]
         obs = flat[first[:n] + t]
-        a = (np.broadcast_to(pi, (n, k)) if t == 0 else alpha[-1][:n] @ trans) * by_class[obs]
+        a = (np.where(heads[:n, None], pi, middle) if t == 0 else alpha[-1][:n] @ trans) * by_class[obs]
         c = a.sum(1, keepdims=True)
         alpha.append(a / c)
         scale.append(c)
         seen.append(obs)
-        total += np.log10(c).sum()
+        total += np.log10(c[(own[:n] <= t) & (t < end[:n])]).sum()
     counts_pi, counts_trans, counts_emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, emit.shape[1]))
     beta = np.ones((0, k))
     for t in range(steps - 1, -1, -1):
         n = alive[t]
         if len(beta) < n:  # stretches that end here
             beta = np.concatenate([beta, np.ones((n - len(beta), k))])
-        gamma = alpha[t] * beta
+        mine = (own[:n] <= t) & (t < end[:n])
+        gamma, obs = (alpha[t] * beta)[mine], seen[t][mine]
         if states is not None:
-            states[first[:n] + t] = gamma
+            states[(first[:n] + t)[mine]] = gamma
         for s in range(k):
-            counts_emit[s] += np.bincount(seen[t], gamma[:, s], emit.shape[1])
+            counts_emit[s] += np.bincount(obs, gamma[:, s], emit.shape[1])
         if t == 0:
-            counts_pi += gamma.sum(0)
+            counts_pi += gamma[heads[:n][mine]].sum(0)
         else:
             ahead = by_class[seen[t]] * beta / scale[t]
-            counts_trans += alpha[t - 1][:n].T @ ahead * trans
+            counts_trans += alpha[t - 1][:n][mine].T @ ahead[mine] * trans
             beta = ahead @ trans.T
     return counts_pi, counts_trans, counts_emit, total
 

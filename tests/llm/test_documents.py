@@ -459,15 +459,103 @@ def test_forward_is_exact_and_training_climbs():
                 p *= trans[path[t - 1], path[t]] * emit[path[t], s[t]]
             total += p
         assert got[i] == pytest.approx(math.log10(total))
-    first, last = hmm.stretches(seqs, 64), -math.inf
+    first, last = hmm.stretches(seqs, 64, 0), -math.inf
     counts = hmm.expect(flat, *first, model)
     assert counts[0].sum() == pytest.approx(3) and counts[1].sum() == pytest.approx(8) and counts[2].sum() == pytest.approx(11)
     for _ in range(6):
         a, b, c, total = hmm.expect(flat, *first, model)
         assert total >= last - 1e-9
         last, model = total, (a / a.sum(), b / b.sum(1, keepdims=True), c / c.sum(1, keepdims=True))
-    parts = hmm.stretches([np.zeros(n) for n in (0, 130, 64, 5)], 64)
-    assert sorted(zip(*map(list, parts), strict=True)) == [(0, 64), (64, 64), (128, 2), (130, 64), (194, 5)]
+    parts = hmm.stretches([np.zeros(n) for n in (0, 130, 64, 5)], 64, 8)
+    assert sorted(zip(*map(list, parts), strict=True)) == [(0, 72, 0, 64, True), (56, 74, 8, 72, False), (120, 10, 8, 10, False), (130, 64, 0, 64, True), (194, 5, 0, 5, True)]
+    # stretches with overlap count every token, every transition and every start once, close to the whole texts' counts
+    long = [rng.integers(0, 5, n).astype(np.uint16) for n in (700, 333, 90)]
+    flat = np.concatenate(long)
+    whole, cut = (hmm.expect(flat, *hmm.stretches(long, m, o), model) for m, o in ((1000, 0), (40, 16)))
+    for a, b in zip(whole[:3], cut[:3], strict=True):
+        assert a.sum() == pytest.approx(b.sum()) and np.abs(a - b).max() < 0.02 * a.sum()
+
+
+def brute_expect(seqs, model):
+    """Baum-Welch counts of whole sequences, by sums over all states, one token at a time."""
+    pi, trans, emit = model
+    counts = np.zeros(len(pi)), np.zeros_like(trans), np.zeros_like(emit)
+    gammas = []
+    for s in seqs:
+        alpha, beta = np.zeros((len(s), len(pi))), np.ones((len(s), len(pi)))
+        for t, x in enumerate(s):
+            alpha[t] = (pi if t == 0 else alpha[t - 1] @ trans) * emit[:, x]
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(s) - 2, -1, -1):
+            beta[t] = trans @ (emit[:, s[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        counts[0][:] += gamma[0]
+        for t, x in enumerate(s):
+            counts[2][:, x] += gamma[t]
+            if t:
+                xi = alpha[t - 1][:, None] * trans * emit[:, x] * beta[t]
+                counts[1][:] += xi / xi.sum()
+        gammas.append(gamma)
+    return counts, gammas
+
+
+def test_scores_against_brute_force(frame):
+    """The whole model, with frequent, rare and unknown words, built again with dictionaries on a small corpus of short texts."""
+    rows = [(i, t, s) for i, t, s in corpus(21, 450, vocabulary=6000, least=1, most=90) if len(words(t)) < hmm.STRETCH] + [(900 + i, f"unseen{i} ab unseen{i}", "s") for i in range(20)]
+    own, classes = hmm.OWN, hmm.CLASSES
+    got = {r.doc_id: r for r in hmm.score(frame(rows), 3, 4).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    low = {i: words(t) for i, t, _ in rows}
+    low = {i: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws] for i, ws in low.items()}
+    count = collections.Counter(w for i in low if not held(i) for w in low[i])
+    ends = sum(not held(i) for i in low)
+
+    def named(w):
+        raw = w.encode()
+        x = hmm.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return int(hmm.signed(x.hashes(lower=True))[0]), int(hmm._endings(x, hmm._lower(x.raw))[0])
+
+    order = sorted(count, key=lambda w: (-count[w], named(w)[0]))
+    cls = {w: 1 + n for n, w in enumerate(order[:own])}
+    of = lambda w: cls.get(w, 1 + own + named(w)[1])
+    seqs = {i: np.array([of(w) for w in ws] + [0]) for i, ws in low.items()}
+    unigram = np.zeros(classes)
+    unigram[0] = ends
+    for w, n in count.items():
+        unigram[of(w)] += n
+    distinct = collections.Counter(of(w) for w in count)
+    assert sum(distinct[c] for c in range(1 + own, classes)) > 500
+    for c in range(1 + own, classes):  # as the sizes of classes of several words: tokens and words
+        unigram[c] += distinct[c]
+    unigram = (unigram + 1) / (unigram + 1).sum()
+    model, train = hmm.start(unigram, 4), [seqs[i] for i in seqs if not held(i)]
+    for _ in range(3):
+        (a, b, c), _ = brute_expect(train, model)
+        model = (a + 1) / (a + 1).sum(), (b + 1) / (b + 1).sum(1, keepdims=True), (c + 50 * unigram) / (c.sum(1, keepdims=True) + 50)
+    _, gammas = brute_expect(train, model)
+    g, q = collections.defaultdict(lambda: np.zeros(4)), collections.defaultdict(lambda: np.zeros(4))
+    for i, gamma in zip([i for i in seqs if not held(i)], gammas, strict=True):
+        for w, x in zip(low[i], gamma, strict=False):
+            if of(w) > own:
+                g[w] += x
+                q[of(w)] += x
+    size = collections.Counter()
+    for w, n in count.items():
+        size[of(w)] += n + 1
+    for i, ws in low.items():
+        a, total = None, 0.0
+        for t, c in enumerate(seqs[i]):
+            e = model[2][:, c].copy()
+            if c > own:
+                w = ws[t]
+                share = q[c] / q[c].sum() if c in q else np.full(4, 0.25)
+                e *= (g[w] / share + 1) / (size[c] + 1) if count[w] else 1 / (size[c] + 1)
+            a = (model[0] if a is None else a @ model[1]) * e
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        assert got[i].score == pytest.approx(total, abs=2e-3)
 
 
 def test_language_model(frame, clashing):
