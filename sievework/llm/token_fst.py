@@ -7,10 +7,12 @@ settles the rest. As canonical BPE has exactly one tokenization of every prefix,
 alone whether a sequence of tokens is canonical, the subset construction is deterministic and exact.
 States and transitions are compiled when first met and kept in a table of bounded size.
 
-Pieces come from the vocabulary's own pattern. A text is read in chunks; a chunk's state map is
-constant but for its head (before the first place where every piece must end: white space behind
-something else) and its tail (behind the last such place), so a map is (head, count, tail). Maps
-compose associatively; a balanced scan joins those of a long text.
+Pieces come from the vocabulary's own pattern, which texts of up to CHUNK characters go through as they are. A
+longer text is cut into chunks anywhere. The pattern is then a part of the machine: a state is what kind
+of piece is being read, the transducer's state within it, and at most two characters that wait for the
+next one to say which piece they belong to. A chunk's map takes states to (state, tokens). It is
+worked out for the start of a piece first; from another state only until both paths meet. Maps compose
+associatively, and a balanced scan joins those of a long text.
 
 Defined results: null and empty texts have no bytes and no tokens; strings of special tokens inside a
 text count as that one token, as the library does by default; extra columns pass through, but
@@ -170,10 +172,23 @@ class Transducer:
         self.next[state][byte] = (to, emitted)
         return to, emitted
 
-    def count(self, piece: bytes) -> int:
-        """Tokens of one piece; the final emission is 0 as counts are kept relative to the boundary."""
+    def read(self, state: int, character: bytes) -> tuple[int, int]:
+        """(state, tokens emitted) behind the bytes of a character."""
+        n, table = 0, self.next
+        for b in character:
+            found = table[state].get(b)
+            state, emitted = found if found is not None else self.step(state, b)
+            n += emitted
+        return state, n
+
+    def trim(self) -> None:
+        """Forgets the states when there are too many; states held elsewhere are void then."""
         if len(self.states) > MOST_STATES:
             self.clear()
+
+    def count(self, piece: bytes) -> int:
+        """Tokens of one piece; the final emission is 0 as counts are kept relative to the boundary."""
+        self.trim()
         state, n, table = 0, 0, self.next
         for b in piece:
             found = table[state].get(b)
@@ -195,55 +210,136 @@ class _Counts(dict):
         return n
 
 
+#: Kinds of states between characters: at a piece's start, in letters, numbers or other signs, behind an apostrophe that
+#: begins a piece, behind such a one and a letter that waits, and in white space whose last character waits.
+BEGIN, LETTERS, NUMBERS, OTHER, QUOTE, ENDING, SPACES = range(7)
+START = (BEGIN, 0, "")
+#: What follows an apostrophe in pieces of their own.
+SINGLE, DOUBLE = {"s", "t", "m", "d"}, {"r": "e", "v": "e", "l": "l"}
+MEET = 64
+
+
+class StateMap:
+    """A function from states to (state, tokens), worked out for the states that it is asked for."""
+
+    __slots__ = ("known", "work")
+
+    def __init__(self, work):
+        self.work, self.known = work, {}
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        if state not in self.known:
+            self.known[state] = self.work(state)
+        return self.known[state]
+
+    def then(self, other: StateMap) -> StateMap:
+        """The map of this map's text followed by the other's."""
+
+        def work(state: tuple) -> tuple[tuple, int]:
+            middle, n = self(state)
+            end, m = other(middle)
+            return end, n + m
+
+        return StateMap(work)
+
+
+class Machine:
+    """The pattern of pieces and the transducer as one machine over characters: (kind, transducer's state, what waits)."""
+
+    def __init__(self, transducer: Transducer):
+        self.read, self.kinds = transducer.read, {}
+        self.classes = [(k, regex.compile(p)) for k, p in ((SPACES, r"\p{White_Space}"), (LETTERS, r"\p{L}"), (NUMBERS, r"\p{N}"))]
+
+    def kind(self, c: str) -> int:
+        found = self.kinds.get(c)
+        if found is None:
+            found = self.kinds[c] = next((k for k, p in self.classes if p.match(c)), OTHER)
+        return found
+
+    def step(self, state: tuple, c: str) -> tuple[tuple, int]:
+        """(state, tokens emitted) behind one more character."""
+        mode, at, wait = state
+        kind, n = self.kind(c), 0
+        if mode == SPACES:
+            if kind == SPACES:
+                at, n = self.read(at, wait.encode())
+                return (SPACES, at, c), n
+            # a last blank belongs to the piece behind it, another last one is a piece
+            front, n = self.read(0, wait.encode())
+            if wait == " ":
+                at, m = self.read(front, c.encode())
+                return (kind, at, ""), n + m
+            mode, at = BEGIN, 0
+        elif mode == ENDING:
+            if c == DOUBLE[wait]:
+                return START, self.read(at, (wait + c).encode())[1]
+            at, n = self.read(0, wait.encode())
+            mode = LETTERS
+        elif mode == QUOTE:
+            if c in SINGLE:
+                return START, self.read(at, c.encode())[1]
+            if c in DOUBLE:
+                return (ENDING, at, c), 0
+            mode = OTHER
+        if kind == SPACES:
+            return (SPACES, 0, c), n
+        if kind != mode:
+            at, mode = 0, QUOTE if c == "'" else kind
+        at, m = self.read(at, c.encode())
+        return (mode, at, ""), n + m
+
+    def rest(self, state: tuple) -> int:
+        """Tokens of what waits at the end of a text."""
+        mode, at, wait = state
+        return self.read(at if mode == SPACES else 0, wait.encode())[1] if wait else 0
+
+    def chunk(self, text: str) -> StateMap:
+        """The map of a chunk."""
+        # the first path's states and tokens at every MEET characters
+        path: list[tuple[tuple, int]] = []
+
+        def work(state: tuple) -> tuple[tuple, int]:
+            n, first = 0, not path
+            for i in range(0, len(text), MEET):
+                if first:
+                    path.append((state, n))
+                elif path[i // MEET][0] == state:
+                    return path[-1][0], n + path[-1][1] - path[i // MEET][1]
+                for c in text[i : i + MEET]:
+                    state, emitted = self.step(state, c)
+                    n += emitted
+            if first:
+                path.append((state, n))
+            return state, n
+
+        made = StateMap(work)
+        made(START)
+        return made
+
+
 class Counter:
     """Token counts of texts."""
 
     def __init__(self, path: str):
         vocabulary = Vocabulary(path)
         self.pieces = regex.compile(PIECES)
-        self.anchor = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
-        self.last_anchor = regex.compile(r"(?r)(?<=\P{White_Space})(?=\p{White_Space})")
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.counts = _Counts(Transducer(vocabulary))
+        self.machine = Machine(self.counts.transducer)
 
     def _plain(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.pieces.findall(text)))
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, count, tail) of a chunk; without a sure end of a piece all of it is head and tail is None."""
-        first = self.anchor.search(chunk)
-        if first is None:
-            return chunk, 0, None
-        last = self.last_anchor.search(chunk).start()
-        return chunk[: first.start()], self._plain(chunk[first.start() : last]), chunk[last:]
-
-    def compose(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
-        """The map of a's chunk followed by b's."""
-        if a[2] is None:
-            if b[2] is None:
-                return self.chunk_map(a[0] + b[0])
-            head = self.chunk_map(a[0] + b[0])
-            if head[2] is None:
-                return head[0], b[1], b[2]
-            return head[0], head[1] + self._tail(head[2]) + b[1], b[2]
-        if b[2] is None:
-            end = self.chunk_map(a[2] + b[0])
-            # a's tail starts at a sure end, so what comes before another one inside is whole
-            return (a[0], a[1], a[2] + b[0]) if end[2] is None else (a[0], a[1] + self._tail(end[0]) + end[1], end[2])
-        return a[0], a[1] + self._tail(a[2] + b[0]) + b[1], b[2]
-
-    def _tail(self, text: str) -> int:
-        return self._plain(text) if text else 0
-
     def scan(self, text: str) -> int:
-        """Tokens of a text without special strings, from the maps of its chunks."""
+        """Tokens of a text without special strings; that of a long one from the maps of its chunks."""
         if len(text) <= CHUNK:
             return self._plain(text)
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+        self.counts.transducer.trim()
+        maps = [self.machine.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return self._tail(head) + n + self._tail(tail or "")
+            maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        state, n = maps[0](START)
+        return n + self.machine.rest(state)
 
     def __call__(self, text: str) -> int:
         if self.special is None or not self.special.search(text):

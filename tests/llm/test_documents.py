@@ -377,11 +377,28 @@ def test_tokens(frame, clashing):
     assert sorted(got, key=str) == sorted(((t, len((t or "").encode()), n, n > 512) for (_, t), n in zip(rows, want, strict=True)), key=str)
     assert token_fst.count_tokens(frame([])).count() == 0
     counter = token_fst.Counter(path)
-    token_fst.CHUNK, before = 7, token_fst.CHUNK
-    try:
-        assert [counter(t or "") for _, t in rows] == want
-    finally:
-        token_fst.CHUNK = before
+    for chunk in (1, 7, 100):
+        token_fst.CHUNK, before = chunk, token_fst.CHUNK
+        try:
+            assert [counter(t or "") for _, t in rows] == want
+        finally:
+            token_fst.CHUNK = before
+    # maps compose associatively, whatever the cuts; a long piece is no other case
+    text = "".join(r.choice(alphabet) for _ in range(500))
+    cuts = sorted(r.sample(range(500), 6))
+    a, b, c, *more = [counter.machine.chunk(text[i:j]) for i, j in zip([0, *cuts], [*cuts, None], strict=True)]
+    left, right = a.then(b).then(c), a.then(b.then(c))
+    for state in (token_fst.START, a(token_fst.START)[0], c(token_fst.START)[0]):
+        assert left(state) == right(state)
+    whole = left
+    for x in more:
+        whole = whole.then(x)
+    state, n = whole(token_fst.START)
+    plain = "".join(text.split("<|endoftext|>"))
+    assert token_fst.Counter.scan(counter, plain) == len(library.encode(plain, add_special_tokens=False).ids)
+    assert whole(token_fst.START) == counter.machine.chunk(text)(token_fst.START)
+    piece = "".join(r.choice("thenadigro") for _ in range(300_000))
+    assert counter(piece) == len(library.encode(piece, add_special_tokens=False).ids)
 
 
 # 9
