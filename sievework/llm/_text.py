@@ -153,7 +153,9 @@ def _prime_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     """Hashes of values[start:end] modulo _PRIME, from the values' upper bits."""
     up, down = _prime_powers(len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(_reduced((values >> U64(33)) * up[: len(values)]), dtype=np.uint64, out=sums[1:])
+    terms = (values >> U64(33)) * up[: len(values)]
+    # one fold holds a term below 2**32, so sums don't overflow
+    np.cumsum((terms & _PRIME) + (terms >> U64(31)), dtype=np.uint64, out=sums[1:])
     return _reduced(_reduced(sums[end] - sums[start]) * down[start])
 
 

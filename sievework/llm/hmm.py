@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._text import U64, Words, buffers, materialise, mix, signed, slices, tidy
 
-STATES, ROUNDS, STRETCH, OVERLAP = 6, 5, 96, 12
+STATES, ROUNDS, STRETCH, OVERLAP = 6, 5, 192, 12
 OWN, ENDINGS, HOT = 2047, 192, 1 << 17
 CLASSES = 1 + OWN + ENDINGS
 HELD_OUT = (7, 2)
@@ -185,6 +185,8 @@ def expect(flat: np.ndarray, first: np.ndarray, size: np.ndarray, own: np.ndarra
         if len(beta) < n:  # stretches that end here
             beta = np.concatenate([beta, np.ones((n - len(beta), k))])
         mine = (own[:n] <= t) & (t < end[:n])
+        if mine.all():
+            mine = slice(None)
         gamma, obs = (alpha[t] * beta)[mine], seen[t][mine]
         if states is not None:
             states[(first[:n] + t)[mine]] = gamma
@@ -279,14 +281,12 @@ def _scorer(model, hot):
                 order = np.argsort(-size, kind="stable")
                 first = np.cumsum(size) - size
                 rare, found = batch.column("rare").slice(i, j - i), batch.column("found").slice(i, j - i)
-                words, known = rare.flatten().to_numpy(), found.flatten()
-                own = np.ones((len(words), k), np.float32)
+                known = found.flatten()
+                own = np.ones((len(rare.flatten()), k), np.float32)
                 if len(known):
-                    got = np.stack([known.field(f"r{x}").to_numpy() for x in range(k)], 1)
-                    hashes, a, b = known.field("h").to_numpy(), 0, 0
-                    for n, m in zip(rare.value_lengths().to_numpy(), found.value_lengths().fill_null(0).to_numpy(), strict=True):
-                        own[a + np.searchsorted(words[a : a + n], hashes[b : b + m])] = got[b : b + m]
-                        a, b = a + n, b + m
+                    n, m = rare.value_lengths().to_numpy(), found.value_lengths().fill_null(0).to_numpy()
+                    got = np.frombuffer(b"".join(known.field("r").to_pylist()), np.float32).reshape(-1, k)
+                    own[np.repeat(np.cumsum(n) - n, m) + known.field("pos").to_numpy()] = got
                 at, code, listed = _inner(batch, i, j, flat, size)
                 frequent = code < HOT
                 ratio = np.ones((len(flat), k), np.float32)
@@ -297,6 +297,19 @@ def _scorer(model, hot):
     return run
 
 
+def _packed(k: int):
+    """(word, count, its ratios as k floats in one binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.stack([batch.column(f"r{x}").to_numpy() for x in range(k)], 1).astype(np.float32)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (4 * k)
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(table))])
+            yield pa.record_batch([batch.column("h"), batch.column("c"), packed], ["h", "c", "r"])
+
+    return run
+
+
 def train(codes: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> tuple:
     """(model, log10 likelihood of the class sequences before each round) over coded training texts."""
     spark, model, history = codes.sparkSession, start(unigram, states), []
@@ -353,9 +366,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFr
         at = np.minimum(np.searchsorted(lookup.h, table["h"].to_numpy()), len(lookup.h) - 1)
         same = lookup.h[at] == table["h"].to_numpy()
         frequent[at[same]] = np.stack([table[f"r{x}"].to_numpy() for x in range(states)], 1)[same]
-    rare = codes.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    found = F.collect_list(F.struct("h", *[f"r{x}" for x in range(states)])).alias("found")
-    rare = rare.join(ratios, "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), found)
+    rare = codes.select("uid", F.posexplode(F.arrays_zip("rare", "times")).alias("pos", "x")).select("uid", "pos", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
+    found = F.collect_list(F.struct("pos", "r")).alias("found")
+    rare = rare.join(ratios.mapInArrow(tidy(_packed(states)), "h bigint, c bigint, r binary"), "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), found)
     both = codes.drop("times").join(rare, "uid", "left").select("doc_id", "held_out", "n_tokens", "known", "base", "inside", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("logs", F.lit(0.0)).alias("logs"), "seq", "inner", "rare", "found")
     out = both.mapInArrow(tidy(_scorer(model, spark.sparkContext.broadcast(frequent))), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, inside double, more bigint, logs double, forward double")
     end_log, denominator = float(np.log10(ends + 1.0)), float(np.log10(total + distinct + 1.0))
