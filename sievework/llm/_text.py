@@ -34,6 +34,9 @@ BLOOM_LEAST, BLOOM_MOST = 1 << 25, 1 << 28
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_LOWER_CODE = _BYTE_CODE[LOWER]
 #: Multipliers are 5 modulo 8, so that powers differ in all but their last few bits.
 _BASES = {"byte": 0x9E3779B97F4A7C15 & ~7 | 5, "word": 0xC2B2AE3D27D4EB4F & ~7 | 5}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -230,10 +233,7 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        raw = self.raw
-        if lower:
-            raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-        return spans(_BYTE_CODE[raw], "byte", self.start, self.end)
+        return spans((_LOWER_CODE if lower else _BYTE_CODE)[self.raw], "byte", self.start, self.end)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, materialise, mix, signed, slices, tidy
+from ._text import LOWER, U64, Words, buffers, materialise, mix, signed, slices, tidy
 
 STATES, ROUNDS, STRETCH, OVERLAP = 6, 5, 192, 12
 OWN, ENDINGS, HOT = 2047, 192, 1 << 17
@@ -43,17 +43,13 @@ HELD_OUT = (7, 2)
 END = np.int64(-1)
 
 
-def _endings(words: Words, raw_lower: np.ndarray) -> np.ndarray:
-    """The ending class of each word: a hash of its last two bytes."""
-    last = raw_lower[words.end - 1].astype(np.uint64)
-    before = np.where(words.end - words.start > 1, raw_lower[np.maximum(words.end - 2, 0)], 0).astype(np.uint64)
+def _endings(words: Words) -> np.ndarray:
+    """The ending class of each word: a hash of its last two bytes in lower case."""
+    last = LOWER[words.raw[words.end - 1]].astype(np.uint64)
+    before = np.where(words.end - words.start > 1, LOWER[words.raw[np.maximum(words.end - 2, 0)]], 0).astype(np.uint64)
     return (mix(last << U64(8) | before) % U64(ENDINGS)).astype(np.int32)
 
 
-def _lower(raw: np.ndarray) -> np.ndarray:
-    return np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, ending class, n) of a batch of training texts; the end of texts is a word of its own."""
     for batch in batches:
@@ -62,7 +58,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(offs):
             words = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             hs.append(signed(words.hashes(lower=True)))
-            es.append(_endings(words, _lower(words.raw)))
+            es.append(_endings(words))
         h, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hs, es))
         h, first, n = np.unique(h, return_index=True, return_counts=True)
         h, e, n = np.append(h, END), np.append(e[first], -1), np.append(n, batch.num_rows)
@@ -92,7 +88,7 @@ class Lookup:
     def code(self, words: Words) -> tuple[np.ndarray, ...]:
         """(hash, class, place in the hot table or -1, log10(c + 1) or nan where not hot, log10 of the class's
         share of a token without the nan part)."""
-        h, e = signed(words.hashes(lower=True)), _endings(words, _lower(words.raw))
+        h, e = signed(words.hashes(lower=True)), _endings(words)
         if len(self.h):
             at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
             hot = self.h[at] == h
@@ -245,7 +241,7 @@ def _inner(batch: pa.RecordBatch, i: int, j: int, flat: np.ndarray, size: np.nda
     word in the rows' lists of rare words)."""
     code = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("inner").slice(i, j - i)]).astype(np.int64)
     at = np.flatnonzero(flat > OWN)
-    n = batch.column("rare").slice(i, j - i).value_lengths().to_numpy()
+    n = batch.column("n_rare").slice(i, j - i).to_numpy()
     return at, code, (np.cumsum(n) - n)[np.repeat(np.arange(j - i), size)[at]] + code - HOT
 
 
@@ -265,8 +261,9 @@ def _state_words(model, hot):
                 known = code < HOT
                 h[known], h[~known] = table[code[known]], rare[listed[~known]]
                 h, head, word, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                sums = [pa.array(np.bincount(word, states[at, x], len(h)), pa.float32()) for x in range(k)]
-                yield pa.record_batch([pa.array(h), pa.array(flat[at][head].astype(np.int32) - 1 - OWN), pa.array(n, pa.int64()), *sums], ["h", "e", "n", *(f"g{x}" for x in range(k))])
+                # the last state's counts are what is left of n
+                sums = [pa.array(np.bincount(word, states[at, x], len(h)), pa.float32()) for x in range(k - 1)]
+                yield pa.record_batch([pa.array(h), pa.array(flat[at][head].astype(np.int32) - 1 - OWN), pa.array(n, pa.int64()), *sums], ["h", "e", "n", *(f"g{x}" for x in range(k - 1))])
 
     return run
 
@@ -280,11 +277,10 @@ def _scorer(model, hot):
                 flat, size = np.concatenate(seqs), np.array([len(s) for s in seqs])
                 order = np.argsort(-size, kind="stable")
                 first = np.cumsum(size) - size
-                rare, found = batch.column("rare").slice(i, j - i), batch.column("found").slice(i, j - i)
-                known = found.flatten()
-                own = np.ones((len(rare.flatten()), k), np.float32)
+                n, found = batch.column("n_rare").slice(i, j - i).to_numpy(), batch.column("found").slice(i, j - i)
+                known, own = found.flatten(), np.ones((n.sum(), k), np.float32)
                 if len(known):
-                    n, m = rare.value_lengths().to_numpy(), found.value_lengths().fill_null(0).to_numpy()
+                    m = found.value_lengths().fill_null(0).to_numpy()
                     got = np.frombuffer(b"".join(known.field("r").to_pylist()), np.float32).reshape(-1, k)
                     own[np.repeat(np.cumsum(n) - n, m) + known.field("pos").to_numpy()] = got
                 at, code, listed = _inner(batch, i, j, flat, size)
@@ -292,7 +288,7 @@ def _scorer(model, hot):
                 ratio = np.ones((len(flat), k), np.float32)
                 ratio[at[frequent]], ratio[at[~frequent]] = hot.value[code[frequent]], own[listed[~frequent]]
                 score[i + order] = forward(flat, first[order], size[order], model.value, ratio)
-            yield batch.drop_columns(["seq", "inner", "rare", "found"]).append_column("forward", pa.array(score))
+            yield batch.drop_columns(["seq", "inner", "n_rare", "found"]).append_column("forward", pa.array(score))
 
     return run
 
@@ -351,8 +347,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFr
     model, _ = train(codes.where("NOT held_out"), (unigram + 1) / (unigram + 1).sum(), rounds, states)
     model = spark.sparkContext.broadcast(model)
     gs = [f"g{x}" for x in range(states)]
-    states_of = codes.where("NOT held_out").select("seq", "inner", "rare").mapInArrow(tidy(_state_words(model, shared)), "h bigint, e int, n bigint, " + ", ".join(f"{g} float" for g in gs))
-    states_of = materialise(states_of.groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("c"), *[F.sum(g).alias(g) for g in gs]), "states")
+    left = F.greatest(F.col("c") - sum((F.col(g) for g in gs[:-1]), F.lit(0.0)), F.lit(0.0))
+    states_of = codes.where("NOT held_out").select("seq", "inner", "rare", F.size("rare").alias("n_rare")).mapInArrow(tidy(_state_words(model, shared)), ", ".join(["h bigint, e int, n bigint", *(f"{g} float" for g in gs[:-1])]))
+    states_of = materialise(states_of.groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("c"), *[F.sum(g).alias(g) for g in gs[:-1]]).withColumn(gs[-1], left), "states")
     # q: the states' shares of each class's tokens
     q = np.ones((ENDINGS, states)) / states
     for e, *g in states_of.groupBy("e").agg(*[F.sum(g) for g in gs]).collect():
@@ -369,7 +366,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFr
     rare = codes.select("uid", F.posexplode(F.arrays_zip("rare", "times")).alias("pos", "x")).select("uid", "pos", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
     found = F.collect_list(F.struct("pos", "r")).alias("found")
     rare = rare.join(ratios.mapInArrow(tidy(_packed(states)), "h bigint, c bigint, r binary"), "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), found)
-    both = codes.drop("times").join(rare, "uid", "left").select("doc_id", "held_out", "n_tokens", "known", "base", "inside", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("logs", F.lit(0.0)).alias("logs"), "seq", "inner", "rare", "found")
+    both = codes.withColumn("n_rare", F.size("rare")).drop("times", "rare").join(rare, "uid", "left").select("doc_id", "held_out", "n_tokens", "known", "base", "inside", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("logs", F.lit(0.0)).alias("logs"), "seq", "inner", "n_rare", "found")
     out = both.mapInArrow(tidy(_scorer(model, spark.sparkContext.broadcast(frequent))), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, inside double, more bigint, logs double, forward double")
     end_log, denominator = float(np.log10(ends + 1.0)), float(np.log10(total + distinct + 1.0))
     return out.select(

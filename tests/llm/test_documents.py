@@ -532,7 +532,7 @@ def test_scores_against_brute_force(frame):
     def named(w):
         raw = w.encode()
         x = hmm.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        return int(hmm.signed(x.hashes(lower=True))[0]), int(hmm._endings(x, hmm._lower(x.raw))[0])
+        return int(hmm.signed(x.hashes(lower=True))[0]), int(hmm._endings(x)[0])
 
     order = sorted(count, key=lambda w: (-count[w], named(w)[0]))
     cls = {w: 1 + n for n, w in enumerate(order[:own])}
