@@ -273,7 +273,8 @@ def _scorer(model, hot):
         k = len(model.value[0])
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for i, j, seqs in _sequences(batch):
+            # many texts side by side, as a long one alone takes a step a token
+            for i, j, seqs in _sequences(batch, 8 << 20):
                 flat, size = np.concatenate(seqs), np.array([len(s) for s in seqs])
                 order = np.argsort(-size, kind="stable")
                 first = np.cumsum(size) - size
@@ -281,7 +282,9 @@ def _scorer(model, hot):
                 known, own = found.flatten(), np.ones((n.sum(), k), np.float32)
                 if len(known):
                     m = found.value_lengths().fill_null(0).to_numpy()
-                    got = np.frombuffer(b"".join(known.field("r").to_pylist()), np.float32).reshape(-1, k)
+                    r = known.field("r")
+                    ends = np.frombuffer(r.buffers()[1], np.int32)[r.offset : r.offset + len(r) + 1]
+                    got = np.frombuffer(r.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, k)
                     own[np.repeat(np.cumsum(n) - n, m) + known.field("pos").to_numpy()] = got
                 at, code, listed = _inner(batch, i, j, flat, size)
                 frequent = code < HOT
