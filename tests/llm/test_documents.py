@@ -67,6 +67,16 @@ def test_quality(frame, clashing):
     assert quality.quality(frame([])).count() == 0 and quality.passing(frame([])).count() == 0
 
 
+def test_symbols_verdict(frame):
+    """The operator's own table: a symbol every third word is junk, one in twenty words is not, one in ten is the bound."""
+    r = random.Random(15)
+    plain = ["the" if i % 4 == 0 else "".join(r.choice("abcdefgh") for _ in range(6)) for i in range(100)]
+    text = lambda every: " ".join(w + "|" * (i % every == 0) for i, w in enumerate(plain))
+    rows = [(1, text(3), "s"), (2, text(20), "s"), (3, " ".join(plain), "s"), (4, text(10), "s"), (5, text(9), "s")]
+    got = {i: kept for i, kept in rows_of(quality.quality(frame(rows)), "doc_id", "kept")}
+    assert got == {1: False, 2: True, 3: True, 4: True, 5: False}
+
+
 def test_pipeline_rejects_symbol_junk(spark, frame):
     """A symbol every third word is junk, one in twenty words is not."""
     import corpus_pipeline
