@@ -45,8 +45,6 @@ RULES = (
     Rule("dup_line_ratio", None, 0.5),
     Rule("mean_line_words", 2.0, None),
 )
-#: The pipeline's table is the same.
-PIPELINE_RULES = RULES
 
 
 def words_of(text: Column) -> Column:
