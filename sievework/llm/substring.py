@@ -8,8 +8,9 @@ extension), counted over the corpus, and the words of windows that occur twice o
 Anchors only choose candidates, by a fast hash of 64 bits; windows are told apart by a cryptographic
 digest of DIGEST bytes of their words.
 
-Scale: a batch sends each distinct anchor once, with its count and places, so a passage in a third of
-all rows is as many rows as there are batches. Texts are shuffled only where they hold a shared
+Scale: a batch sends each distinct anchor once, with its count and place, so a passage in a third of
+all rows is as many records as there are batches. Records cross shuffles in one row for each bucket of
+hashes, and a worker sorts a bucket at a time; the number of buckets follows the bytes of the texts. Texts are shuffled only where they hold a shared
 anchor (a Bloom filter of bounded size sorts out most others; what it lets through is
 settled by joins). Decisions travel under a key of the text, since they depend on the text alone.
 
@@ -26,10 +27,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, buffers, extended, keeps, materialise, mix, signed, slices, text_key, tidy, with_filter
+from ._text import U64, Words, buffers, extended, keeps, materialise, mix, slices, text_key, tidy, with_filter
 
 #: A perfect difference set modulo 21 (every remainder is a difference of two members).
 PERIOD = 21
@@ -39,36 +40,80 @@ SPREAD = 64
 DIGEST = 16
 #: Hashes that a worker gathers before it sends them on.
 GATHER = 1 << 19
+#: Records that share a bucket, about, and the bytes that a word is taken to have in texts.
+BUCKET, WORD_BYTES = 1 << 16, 6
+LEAST_BUCKETS = 64
 _OCC = np.dtype([("k", "<i8"), ("p", "<i4")])
-
-
-def _gather(h: np.ndarray, key: np.ndarray, at: np.ndarray, times: np.ndarray, g: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row for each distinct hash (h, with g as its second half if there is one): its count and the place where it stands. A hash that stands in
-    several places here is shared already: its places go in rows of their own, SPREAD places each,
-    under other hashes and with a count of two, so that they don't meet in one task."""
-    order = np.argsort(h, kind="stable") if g is None else np.lexsort((g, h))
-    h, times = h[order], times[order]
-    new = h[1:] != h[:-1]
-    if g is not None:
-        g = g[order]
-        new |= g[1:] != g[:-1]
-    head = np.concatenate([[True], new]) if len(h) else np.zeros(0, bool)
-    start = np.flatnonzero(head)
+#: A hash (windows: in two halves), the place where it stands (none: p = -1) and whether it is known once (n = 1) or more often (n = 2).
+_ANCHOR = np.dtype([("h", "<u8"), ("k", "<i8"), ("p", "<i4"), ("n", "<i4")])
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("k", "<i8"), ("p", "<i4"), ("n", "<i4")])
+_PACKED = "b int, records binary"
+
+
+def _packed(key: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket that has any of the records, which are sorted by key; of very many records
+    (a long text's) one for each 2 * GATHER of them."""
+    for i in range(0, len(records), 2 * GATHER):
+        part = records[i : i + 2 * GATHER]
+        b = ((key[i : i + 2 * GATHER] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        ends = (np.append(start, len(b)) * records.itemsize).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(part)])
+        yield pa.record_batch([pa.array(b[start]), blobs], ["b", "records"])
+
+
+def _grouped(h: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal hashes stand together, and where each of them begins in it."""
+    differs = lambda x: x[1:] != x[:-1]
+    order = np.argsort(h)
+    new = differs(h[order])
+    if g is not None and (differs(g[order]) & ~new).any():  # first halves alone don't tell these apart
+        order = np.lexsort((g, h))
+        new = differs(h[order]) | differs(g[order])
+    return order, np.flatnonzero(np.concatenate([[True], new]))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """The records of one bucket after the other, from rows sorted by bucket."""
+    last, parts = None, []
+    for batch in batches:
+        b, blobs = batch.column("b").to_numpy(), batch.column("records").cast(pa.large_binary())
+        if not len(b):
+            continue
+        _, offs, data = blobs.buffers()
+        offs = np.frombuffer(offs, np.int64, len(b) + 1, blobs.offset * 8)
+        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(b)], strict=True):
+            if parts and b[i] != last:
+                yield np.concatenate(parts)
+                parts = []
+            last = b[i]
+            parts.append(np.frombuffer(data, kind, (offs[j] - offs[i]) // kind.itemsize, offs[i]))
+    if parts:
+        yield np.concatenate(parts)
+
+
+def _gather(buckets: int, h: np.ndarray, key: np.ndarray, at: np.ndarray, times: np.ndarray, g: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One record for each distinct hash (h, with g as its second half if there is one), packed into a row for each bucket. A hash that
+    stands in several places here is shared already: its places go in records of their own, under
+    other hashes for each SPREAD places, so that they don't meet in one task."""
+    order, start = _grouped(h, g)
+    h, key, at = h[order], key[order], at[order]
     count = np.diff(np.append(start, len(h)))
-    occ = np.empty(len(h), _OCC)
-    occ["k"], occ["p"] = key[order], at[order]
-    alone = np.repeat(count == 1, count)
-    n = np.add.reduceat(times, start) if len(h) else np.zeros(0, np.int64)
-    moved = np.flatnonzero(~alone)
-    chunks = np.arange(0, len(moved), SPREAD)
-    own = h[moved[chunks]] ^ mix(occ["p"][moved[chunks]].astype(np.uint64) + occ["k"][moved[chunks]].view(np.uint64) + U64(1))
-    data = np.concatenate([occ[alone], occ[moved]])
-    lengths = np.concatenate([(count == 1).astype(np.int64), np.diff(np.append(chunks, len(moved)))])
-    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * _OCC.itemsize
-    blobs = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-    hashes, counts = np.concatenate([h[start], own]), np.concatenate([n, np.full(len(chunks), 2)])
-    second = [] if g is None else [pa.array(signed(np.concatenate([g[start], g[moved[chunks]]])))]
-    return pa.record_batch([pa.array(signed(hashes)), pa.array(counts.astype(np.int64)), blobs, *second], ["h", "n", "occ", "g"][: 3 + len(second)])
+    moved = np.flatnonzero(np.repeat(count > 1, count))
+    first = moved[::SPREAD]
+    own = h[first] ^ mix(at[first].astype(np.uint64) + key[first].view(np.uint64) + U64(1))
+    records = np.empty(len(start) + len(moved), _ANCHOR if g is None else _WINDOW)
+    rows = np.concatenate([start, moved])
+    records["h"] = np.concatenate([h[start], np.repeat(own, SPREAD)[: len(moved)]])
+    records["k"], records["p"], records["n"] = key[rows], at[rows], 2
+    records["p"][: len(start)][count > 1] = -1
+    records["n"][: len(start)] = np.minimum(np.add.reduceat(times[order], start), 2)
+    if g is not None:
+        records["g"] = g[order[rows]]
+    if len(moved):
+        records = records[np.argsort(records["h"])]
+    return _packed(records["h"], records, buckets)
 
 
 def digests(raw: np.ndarray, offsets: np.ndarray, words: Words, at: np.ndarray, size: int) -> np.ndarray:
@@ -90,7 +135,7 @@ def _distinct(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     return batch.take(pa.array(first)), n
 
 
-def _anchors(size: int):
+def _anchors(size: int, buckets: int):
     length = size - PERIOD + 1
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
@@ -107,17 +152,18 @@ def _anchors(size: int):
                 place = at - words.first[row]
                 # windows need the whole size around them, so shorter texts have no anchor
                 use = cover[place % PERIOD] & (words.counts[row] >= size)
-                parts.append((h[use], keys[i:j][row[use]], place[use], times[i:j][row[use]]))
+                if use.any():
+                    parts.append((h[use], keys[i:j][row[use]], place[use], times[i:j][row[use]]))
                 if sum(len(x[0]) for x in parts) > GATHER:
-                    yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
+                    yield from _gather(buckets, *map(np.concatenate, zip(*parts, strict=True)))
                     parts = []
             if parts:
-                yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
+                yield from _gather(buckets, *map(np.concatenate, zip(*parts, strict=True)))
 
     return run
 
 
-def _windows(size: int):
+def _windows(size: int, buckets: int):
     """Full windows that hold a shared anchor, gathered like the anchors."""
     length = size - PERIOD + 1
 
@@ -144,24 +190,60 @@ def _windows(size: int):
                 h, row = digests(words.raw, offs[i : j + 1] - offs[i], words, at, size), words.rows()[at]
                 parts.append((h[:, 0], keys[i:j][row], at - words.first[row], times[i:j][row], h[:, 1]))
                 if sum(len(x[0]) for x in parts) > GATHER:
-                    yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
+                    yield from _gather(buckets, *map(np.concatenate, zip(*parts, strict=True)))
                     parts = []
             if parts:
-                yield _gather(*map(np.concatenate, zip(*parts, strict=True)))
+                yield from _gather(buckets, *map(np.concatenate, zip(*parts, strict=True)))
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        occ = np.frombuffer(b"".join(batch.column("occ").to_pylist()), _OCC)
-        yield pa.record_batch([pa.array(np.ascontiguousarray(occ["k"])), pa.array(np.ascontiguousarray(occ["p"]))], ["k", "p"])
+def _once(k: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The places (k, p) in order, each once."""
+    order = np.lexsort((p, k.view(np.uint64)))
+    found = np.empty(len(order), _OCC)
+    found["k"], found["p"] = k[order], p[order]
+    return found[np.concatenate([[True], (found["k"][1:] != found["k"][:-1]) | (found["p"][1:] != found["p"][:-1])])]
+
+
+def _repeated(kind: np.dtype, buckets: int):
+    """The places of hashes that occur twice or more, packed by their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            found = _once(*map(np.concatenate, zip(*parts, strict=True)))
+            parts.clear()
+            return _packed(found["k"].astype(np.int64).view(np.uint64), found, buckets)
+
+        for records in _unpacked(batches, kind):
+            order, start = _grouped(records["h"], records["g"] if "g" in kind.names else None)
+            records = records[order]
+            shared = np.repeat(np.add.reduceat(records["n"], start) > 1, np.diff(np.append(start, len(records))))
+            records = records[shared & (records["p"] >= 0)]
+            if len(records):
+                parts.append((records["k"].copy(), records["p"].copy()))
+            if sum(len(x[0]) for x in parts) > GATHER:
+                yield from gathered()
+        if parts:
+            yield from gathered()
+
+    return run
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for found in _unpacked(batches, _OCC):
+        found = _once(found["k"].copy(), found["p"].copy())
+        start = np.flatnonzero(np.concatenate([[True], found["k"][1:] != found["k"][:-1]]))
+        places = pa.ListArray.from_arrays(pa.array(np.append(start, len(found)).astype(np.int32)), pa.array(found["p"].copy()))
+        yield pa.record_batch([pa.array(found["k"][start]), places], ["k", "places"])
 
 
-def _shared(rows: DataFrame, *by: str) -> DataFrame:
+def _shared(rows: DataFrame, kind: np.dtype, buckets: int) -> DataFrame:
     """(k, places): where hashes stand that occur twice or more, by text key."""
-    rows = rows.withColumn("all", F.sum("n").over(Window.partitionBy(*by))).where("all > 1").select("occ")
-    return rows.mapInArrow(tidy(_unpack), "k bigint, p int").groupBy("k").agg(F.collect_set("p").alias("places"))
+    together = lambda df: df.repartition("b").sortWithinPartitions("b")
+    return together(together(rows).mapInArrow(tidy(_repeated(kind, buckets)), _PACKED)).mapInArrow(tidy(_places), "k bigint, places array<int>")
 
 
 def _removal(size: int, columns: list[str], keep_text: bool):
@@ -215,11 +297,13 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, keep_text: bool = True)
         raise ValueError(f"a window needs {PERIOD} words or more")
     columns = docs.columns
     texts = docs.select(text_key().alias("k"), "text")
-    anchors = _shared(texts.mapInArrow(tidy(_anchors(size)), "h bigint, n bigint, occ binary"), "h")
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / WORD_BYTES
+    buckets, more = (min(max(int(n / BUCKET), LEAST_BUCKETS), 1 << 30) for n in (words * len(COVER) / PERIOD, words))
+    anchors = _shared(texts.mapInArrow(tidy(_anchors(size, buckets)), _PACKED), _ANCHOR, buckets)
     anchors = materialise(anchors, "anchors")
     some = with_filter(texts, anchors.select("k")).where("maybe").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     held = some.join(anchors, "k").select("k", "text", "copies", "places")
-    windows = materialise(_shared(held.mapInArrow(tidy(_windows(size)), "h bigint, n bigint, occ binary, g bigint"), "h", "g"), "windows")
+    windows = materialise(_shared(held.mapInArrow(tidy(_windows(size, more)), _PACKED), _WINDOW, more), "windows")
     tagged = with_filter(docs.withColumn("k", text_key()), windows.select("k"))
     hit = tagged.where("maybe").join(windows, "k", "left")
     rest = tagged.where("NOT maybe").withColumn("places", F.lit(None).cast("array<int>"))

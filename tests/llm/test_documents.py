@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,35 @@ def test_substrings(frame, clashing):
         substring.dedup_substrings(frame([]), size=5)
 
 
+def test_anchors_cross_shuffles_in_buckets():
+    """A batch sends a row for each bucket, not for each anchor, and no anchor is lost in them."""
+    r = random.Random(3)
+    texts = [" ".join(str(r.randrange(10**9)) for _ in range(400)) for _ in range(50)]
+    batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array(texts)], ["k", "text"])
+    out = pa.Table.from_batches(substring._anchors(substring.SIZE, 64)(iter([batch])))
+    got = list(substring._unpacked(out.sort_by("b").combine_chunks().to_batches(), substring._ANCHOR))
+    length = substring.SIZE - substring.PERIOD + 1
+    places = {(k, p) for k in range(50) for p in range(400 - length + 1) if p % substring.PERIOD in substring.COVER}
+    assert out.num_rows == len(got) == 64
+    assert {(x["k"], x["p"]) for records in got for x in records} == places and sum(map(len, got)) == len(places)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 40])
+def test_substrings_in_any_number_of_buckets(frame, monkeypatch, most):
+    monkeypatch.setattr(substring, "BUCKET", most)
+    monkeypatch.setattr(substring, "LEAST_BUCKETS", 1)
+    rows = corpus(6, 60) + ODD + [(100, "w " * 300, "s"), (101, "v " + "w " * 300, "s")]
+    got = rows_of(substring.dedup_substrings(frame(rows), keep_text=False), "text", "n_words", "n_removed", "kept_sha256")
+    want = {t: w[:3] for (_, t, _), w in zip(rows, brute_removed([t for _, t, _ in rows]), strict=True)}
+    assert len(got) == len(rows) and all(tuple(x) == want[text] for text, *x in got)
+
+
+def test_windows_with_equal_first_halves_stay_apart():
+    h, g = np.array([5, 5, 5, 2, 5], np.uint64), np.array([1, 2, 1, 1, 3], np.uint64)
+    order, start = substring._grouped(h, g)
+    assert [sorted(x.tolist()) for x in np.split(order, start[1:])] == [[3], [0, 2], [1], [4]]
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
