@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ast import Expr
 from ..plans.compiler import compile_expr, two_valued
+from .places import FEW, id_at
 
 
 @dataclass(frozen=True)
@@ -73,14 +74,20 @@ class QueryResult:
         return self.rows().collect()
 
     def page(self, offset: int, limit: int = 0) -> DataFrame:
-        """With a limit, the first offset + limit rows are looked for; without one, all rows from the id at the offset on."""
-        if limit:
+        """The first FEW rows are looked for by a sort. Other pages take the rows from the id at the offset on, and if they are
+        long up to the id behind their last, so no task has the rows in front of a page."""
+        if min(offset, limit) < 0 or 0 < limit <= FEW - offset:
             return self.rows().offset(offset).limit(limit)
-        if not offset:
-            return self.rows()
-        rid = self.collection.rid
-        start = self.to_df().select(rid).orderBy(rid).offset(offset).limit(1)
-        return self.to_df().where(F.col(rid) >= start.scalar()).orderBy(rid).select(*self.collection.columns)
+        rid, found = self.collection.rid, self.to_df()
+        ids = found.select(rid)
+        if offset:
+            start = id_at(ids, offset).select(F.col(rid).alias("_start"))
+            found = found.join(F.broadcast(start), F.col(rid) >= F.col("_start"))
+        if limit > FEW:
+            end = id_at(ids, offset + limit).agg(F.min(rid).alias("_end"))
+            found = found.join(F.broadcast(end), F.col("_end").isNull() | (F.col(rid) < F.col("_end")))
+        found = found.orderBy(rid).select(*self.collection.columns)
+        return found.limit(limit) if 0 < limit <= FEW else found
 
     def paginate(self, offset: int, limit: int = 0) -> tuple[list[Row], PageInfo]:
         total = self.count()

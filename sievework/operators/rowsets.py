@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .places import id_at
+
 RID = "_rid"
 
 
@@ -75,7 +77,7 @@ class RowSet:
         return self.bounds_df().first()["max"]
 
     def kth_df(self, k: int) -> DataFrame:
-        return self.ids.orderBy(RID).offset(k).limit(1)
+        return id_at(self.ids, k)
 
     def kth(self, k: int) -> int | None:
         found = self.kth_df(k).head(1)

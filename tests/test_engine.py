@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -374,3 +375,17 @@ def test_pages_without_a_limit(spark):
     rest = c.query(b.all_()).page(990)
     assert [r.id for r in rest.collect()] == list(range(990, 1000)) and c.query(b.all_()).page(1000).count() == 0
     assert "CollectLimit -1" not in rest._jdf.queryExecution().toString()
+
+
+def test_pages_far_behind_the_first(spark):
+    rng = random.Random(7)
+    ids = sorted({rng.choice((1, -1)) * rng.getrandbits(rng.choice((8, 20, 40, 63))) for _ in range(5000)} | {-(2**63), -1, 0, 2**63 - 1})
+    c = Collection(spark.createDataFrame([(i, i) for i in rng.sample(ids, len(ids))], "_rid long, v long").repartition(5))
+    everything, n = c.query(b.all_()), len(ids)
+    for offset, limit in ((995, 5), (996, 5), (3000, 7), (3000, 1200), (n - 3, 7), (n - 3, 2000), (n, 5), (n - 1, 0), (0, 2000), (10**10, 5)):
+        page = everything.page(offset, limit)
+        assert [r.v for r in page.collect()] == ids[offset : offset + limit if limit else None]
+        assert all(int(k) <= 1000 for k in re.findall(r"(?:[Ll]imit|offset)[ =](\d+)", page._jdf.queryExecution().executedPlan().toString()))  # what one task may be sent
+    rows = RowSet(c.frame)
+    assert [rows.kth(k) for k in (0, 999, 1000, n - 1, n)] == [ids[0], ids[999], ids[1000], ids[-1], None]
+    assert not re.search(r"[Ll]imit[ =]\d{4}", rows.kth_df(1500)._jdf.queryExecution().executedPlan().toString())
